@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from profuse.operators.small import join_small
+
 
 def shared_samples(cells: DataFrame, response: DataFrame | None = None, n_profiles: int | None = None) -> DataFrame:
     """Samples present in every profile (and in the response)."""
@@ -24,6 +26,12 @@ def restrict(cells: DataFrame, keys: DataFrame, on: Sequence[str] | str = "sampl
     return cells.join(keys, on, "left_semi")
 
 
+def restrict_features(cells: DataFrame, features: DataFrame) -> DataFrame:
+    """Keep cells of listed features; ``features`` has ``feature`` and maybe ``profile``."""
+    keys = [c for c in ("profile", "feature") if c in features.columns]
+    return join_small(cells, features.select(*keys).distinct(), keys, "left_semi")
+
+
 def exclude(cells: DataFrame, keys: DataFrame, on: Sequence[str] | str = "sample_id") -> DataFrame:
     """Keep cells whose key is not listed (the complement of a saved part)."""
     return cells.join(keys, on, "left_anti")

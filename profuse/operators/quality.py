@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from profuse.operators.rank import key_bucket, split_points
 from profuse.operators.scale import KEYS
+from profuse.operators.small import join_small
 
 
 def drop_empty_features(cells: DataFrame) -> DataFrame:
     """Remove features without a single value."""
     alive = cells.groupBy(*KEYS).agg(F.count("value").alias("n")).filter(F.col("n") > 0)
-    return cells.join(alive.select(*KEYS), KEYS, "left_semi")
+    return join_small(cells, alive.select(*KEYS), KEYS, "left_semi")
 
 
 def audit_missing(cells: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def fill_constant(cells: DataFrame, constant: float) -> DataFrame:
 def fill_mean(cells: DataFrame) -> DataFrame:
     """Feature mean in every gap (aggregate and join, not one window per feature)."""
     means = cells.groupBy(*KEYS).agg(F.avg("value").alias("_mean"))
-    return cells.join(means, KEYS).withColumn("value", F.coalesce("value", "_mean")).drop("_mean")
+    return join_small(cells, means, KEYS).withColumn("value", F.coalesce("value", "_mean")).drop("_mean")
 
 
 def fill_along(cells: DataFrame, method: str = "ffill") -> DataFrame:
@@ -75,13 +76,13 @@ def keep_var_samp(cells: DataFrame, threshold: float, pattern: str | None = None
     low = scope.groupBy(*KEYS).agg(F.var_samp("value").alias("v")).filter(
         (F.col("v") < threshold) | F.col("v").isNull()
     )
-    return cells.join(low.select(*KEYS), KEYS, "left_anti")
+    return join_small(cells, low.select(*KEYS), KEYS, "left_anti")
 
 
 def keep_var_pop(cells: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Features with population variance > threshold."""
     kept = cells.groupBy(*KEYS).agg(F.var_pop("value").alias("v")).filter(F.col("v") > threshold)
-    return cells.join(kept.select(*KEYS), KEYS, "left_semi")
+    return join_small(cells, kept.select(*KEYS), KEYS, "left_semi")
 
 
 def keep_sample_var(cells: DataFrame, threshold: float) -> DataFrame:

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from profuse.operators.small import settle
+
 KEYS = ["profile", "feature"]
 
 
@@ -28,7 +30,7 @@ def log10(value: Column) -> Column:
 
 @dataclass
 class Scaler:
-    """Fitted scaler: a small table (profile, feature, centre, width)."""
+    """Fitted scaler: a settled table (profile, feature, centre, width)."""
 
     stats: DataFrame
     lo: float = 0.0
@@ -51,15 +53,15 @@ def fit_zscore(cells: DataFrame) -> Scaler:
     stats = cells.groupBy(*KEYS).agg(F.avg("value").alias("centre"), F.stddev_pop("value").alias("sd"),
                                      F.min("value").alias("lo"), F.max("value").alias("hi"))
     flat = F.col("lo") == F.col("hi")
-    return Scaler(stats.select(
+    return Scaler(settle(stats.select(
         *KEYS, F.when(flat, F.col("lo")).otherwise(F.col("centre")).alias("centre"),
-        F.when(flat, F.lit(1.0)).otherwise(_width(F.col("sd"))).alias("width")))
+        F.when(flat, F.lit(1.0)).otherwise(_width(F.col("sd"))).alias("width"))))
 
 
 def fit_minmax(cells: DataFrame, lo: float = 0.0, hi: float = 1.0) -> Scaler:
     """[lo, hi] per feature; a constant feature maps to ``lo``."""
     stats = cells.groupBy(*KEYS).agg(F.min("value").alias("centre"), F.max("value").alias("top"))
-    return Scaler(stats.select(*KEYS, "centre", _width(F.col("top") - F.col("centre")).alias("width")), lo, hi)
+    return Scaler(settle(stats.select(*KEYS, "centre", _width(F.col("top") - F.col("centre")).alias("width"))), lo, hi)
 
 
 def zscore(cells: DataFrame) -> DataFrame:

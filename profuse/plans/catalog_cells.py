@@ -57,7 +57,7 @@ def s3(spark, sf):
     path = scratch_path(spark, "names")
     names_frame(spark, WHITELIST).withColumnRenamed("name", "GeneSymbol").coalesce(1).write.option("header", True).csv(path)
     names = delimited.read_names(spark, path, "GeneSymbol").select(F.col("name").alias("feature"))
-    return align.restrict(standin.spend(spark, sf), names, "feature")
+    return align.restrict_features(standin.spend(spark, sf), names)
 
 
 @query("s4_unpack_bundle", f"""
@@ -308,7 +308,7 @@ def j3(spark, sf):
 @query("j4_feature_intersection", f"SELECT profile, feature, count(*)::bigint AS n_rows FROM spend WHERE feature IN (SELECT name FROM {WHITELIST_SQL}) GROUP BY profile, feature", ["spend"])
 def j4(spark, sf):
     wanted = labels.candidate_names(names_frame(spark, [*WHITELIST, "Brand#99"]), [("spend", ""), ("share", "")])
-    kept = align.restrict(standin.profiles(spark, sf, ("spend", "share")), wanted, ["profile", "feature"])
+    kept = align.restrict_features(standin.profiles(spark, sf, ("spend", "share")), wanted)
     return kept.groupBy("profile", "feature").agg(F.count("*").alias("n_rows"))
 
 
@@ -531,7 +531,7 @@ SELECT profile, sample_id, feature, {r('value')} AS value FROM cells SEMI JOIN (
 def k8(spark, sf):
     cells = standin.profiles(spark, sf)
     kept = split.first_features(split.feature_table(cells), 3)
-    return cells_out(align.restrict(cells, kept, ["profile", "feature"]))
+    return cells_out(align.restrict_features(cells, kept))
 
 
 @query("k8_head_rows", "SELECT sample_id, balance FROM response ORDER BY sample_id LIMIT 10", ["response"])

@@ -55,4 +55,4 @@ def normal_tissue(raw: DataFrame, other: DataFrame, profile: str, prefix: str, l
         labels.relabel(raw, "sample_id", text.truncate_label, length), "sample_id", "-1[0-9]$")
     single = align.drop_duplicates(kept, ["sample_id", "feature"], "position", "last")
     named = single.select(F.lit(profile).alias("profile"), "sample_id", F.concat(F.lit(prefix), "feature").alias("feature"), "value")
-    return align.restrict(named, other.select("feature").distinct(), "feature")
+    return align.restrict_features(named, other.select("feature"))

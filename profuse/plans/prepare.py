@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from profuse.operators import align, impute, labels, quality, reshape, scale, split
+from profuse.operators.small import join_small
 from profuse.operators.rank import block_of, hash_rank
 from profuse.session import stored
 from profuse.sources import standin
@@ -38,10 +39,10 @@ def prepare(profiles: dict[str, DataFrame], logged: Sequence[str], whitelist: Da
         scaled = scale.minmax(filled.select("profile", "sample_id", "feature", "value"))
         kept = quality.keep_var_pop(scaled, threshold)
         if name in listed:
-            kept = align.restrict(kept, whitelist.select(F.col("name").alias("feature")), "feature")
+            kept = align.restrict_features(kept, whitelist.select(F.col("name").alias("feature")))
         elif name in first:
             leading = split.first_features(split.feature_table(kept), first[name])
-            kept = align.restrict(kept, leading, ["profile", "feature"])
+            kept = align.restrict_features(kept, leading)
         out = kept if out is None else out.unionByName(kept)
     return out
 
@@ -76,7 +77,7 @@ def reload(cells: DataFrame, response: DataFrame, options: Reload) -> DataFrame:
     if options.log_target:
         outcome = outcome.withColumn("y", scale.log10(F.col("y")))
     parts = split.train_test_ceil(outcome.select("sample_id"), options.seed, options.test_share)
-    return out.join(table, ["profile", "feature"]).join(outcome.join(parts, "sample_id"), "sample_id")
+    return join_small(out, table, ["profile", "feature"]).join(outcome.join(parts, "sample_id"), "sample_id")
 
 
 def demo_set(cells: DataFrame, names: Sequence[str], threshold: float, seed: int) -> DataFrame:

@@ -8,7 +8,7 @@ order of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 PROFILES = ("spend", "mix", "share", "activity")
 
@@ -59,9 +59,8 @@ def share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a customer's orders per priority (values in [0, 1], rows sum to 1)."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority")
     per = orders.groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
-    whole = per.groupBy("o_custkey").agg(F.sum("n").alias("total"))
-    return _cells(per.join(whole, "o_custkey"), "share", "o_custkey", "o_orderpriority",
-                  F.col("n").cast("double") / F.col("total").cast("double"))
+    total = F.sum("n").over(Window.partitionBy("o_custkey"))  # one row per priority
+    return _cells(per, "share", "o_custkey", "o_orderpriority", F.col("n").cast("double") / total.cast("double"))
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
