@@ -100,3 +100,9 @@ def mixed_uniform(base: np.ndarray, stream: int) -> np.ndarray:
 
 def row_hash(seed, key: str = "sample_id") -> Column:
     return F.xxhash64(F.lit(str(seed)), F.col(key))
+
+
+def poisson_weights(u: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts from uniforms: bootstrap weights of rows."""
+    steps = np.cumsum(np.exp(-1.0) / np.cumprod(np.r_[1.0, np.arange(1, 18)]))
+    return np.searchsorted(steps, u, side="right").astype(np.float64)

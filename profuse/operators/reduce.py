@@ -139,7 +139,7 @@ def fit_nmf(df: DataFrame, n_components: int, alpha: float = 0.0, l1_ratio: floa
 
         sums = sum_partials(rows, partial)
         loss = float(sums["loss"][0, 0]) + l1 * h.sum() + 0.5 * l2 * (h * h).sum()
-        losses.append(loss)
+        losses.append(float(loss))
         if len(losses) > 1 and losses[-2] - loss <= tol * losses[0]:
             break
         h = _sweeps(sums["ww"], sums["wx"].T, h.T.copy(), l1, l2).T

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from profuse.plans import catalog_cells, catalog_linear, catalog_plans  # noqa: F401
+from profuse.plans import catalog_cells, catalog_kernels, catalog_linear, catalog_models, catalog_plans  # noqa: F401
 from profuse.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -35,6 +35,7 @@ def prepare(profiles: dict[str, DataFrame], logged: Sequence[str], whitelist: Da
     """
     out = None
     for name, cells in profiles.items():
+        cells = stored(cells, "profile")  # read several times below
         filled = scale.log_scale(cells) if name in logged else impute_profile(cells, method)
         scaled = scale.minmax(filled.select("profile", "sample_id", "feature", "value"))
         kept = quality.keep_var_pop(scaled, threshold)
@@ -66,6 +67,7 @@ def reload(cells: DataFrame, response: DataFrame, options: Reload) -> DataFrame:
 
     The filter comes before scaling: after z-scoring every variance is one.
     """
+    cells = stored(cells, "profile")  # read several times below
     out = cells if options.threshold is None else quality.keep_var_pop(cells, options.threshold)
     out = scale.zscore(out) if options.scaling == "zscore" else scale.minmax(out)
     table = split.feature_table(out)
@@ -93,13 +95,17 @@ EARLY = ("spend", "mix", "share")
 
 
 def scaled_cells(spark: SparkSession, sf: str, names: Sequence[str] = EARLY) -> DataFrame:
-    """Log (spend) and min-max cells with profile-qualified feature names."""
+    """Log (spend) and min-max cells with profile-qualified feature names.
+
+    The raw cells are written once: statistics and every later pass read them
+    instead of repeating the joins.
+    """
     out = None
     for name in names:
         cells = standin.BUILDERS[name](spark, sf)
-        part = scale.minmax(scale.log_scale(cells) if name == "spend" else cells)
+        part = scale.log_scale(cells) if name == "spend" else cells
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("feature", F.concat("profile", F.lit(":"), "feature"))
+    return scale.minmax(stored(out.withColumn("feature", F.concat("profile", F.lit(":"), "feature")), "cells"))
 
 
 def outcome(spark: SparkSession, sf: str, name: str = "max_price") -> DataFrame:
@@ -112,14 +118,13 @@ def design(spark: SparkSession, sf: str, names: Sequence[str] = EARLY, folds: in
            fill: float | None = 0.0) -> tuple[DataFrame, tuple[str, ...]]:
     """(sample_id, x, y, split, fold) with all profiles fused; absent cells mean 0.
 
-    Cells and vectors are written once, so the folds and every later pass read
-    columns instead of repeating the joins.
+    The result is written once, so every later pass is a column scan.
     """
-    cells = stored(scaled_cells(spark, sf, names), "cells")
+    cells = scaled_cells(spark, sf, names)
     order = reshape.feature_names(cells)
     vectors = reshape.to_vectors(cells, order, fill)
-    rows = stored(vectors.join(outcome(spark, sf), "sample_id"), "design")
-    return with_folds(rows, folds, seed), order
+    rows = vectors.join(outcome(spark, sf), "sample_id")
+    return stored(with_folds(rows, folds, seed), "design"), order
 
 
 def with_folds(df: DataFrame, folds: int = 5, seed: int = 10, train_share: float = 0.8) -> DataFrame:
