@@ -1,0 +1,6 @@
+"""Streams.
+
+There are no stream operators here.  A fitted scaler, linear model or map is
+row-wise, so its ``transform`` also accepts a streaming DataFrame (see
+``tests/test_streaming.py``); fitting always reads a batch table.
+"""
