@@ -14,10 +14,10 @@ def shared_samples(cells: DataFrame, response: DataFrame | None = None, n_profil
     pairs = cells.select("sample_id", "profile")
     if response is not None:
         pairs = pairs.unionByName(response.select("sample_id", F.lit("response").alias("profile")))
-    pairs = pairs.distinct()
     if n_profiles is None:
         n_profiles = pairs.select("profile").distinct().count()
-    per = pairs.groupBy("sample_id").agg(F.count("*").alias("n"))
+    # one shuffle: a sample's set of profiles is combined map-side and stays tiny
+    per = pairs.groupBy("sample_id").agg(F.size(F.collect_set("profile")).alias("n"))
     return per.filter(F.col("n") == n_profiles).select("sample_id")
 
 

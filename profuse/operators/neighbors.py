@@ -5,6 +5,10 @@ counts bound each query's k-th distance from above and its distance to a cell
 from below (triangle inequality); a query visits only cells it cannot exclude.
 Cells are cut into chunks of bounded size, each (cell, chunk) pair of training
 and query rows is one block of work that returns at most k rows per query.
+
+Copies do not multiply the work: of training rows with the same vector only the
+k of smallest id can be neighbours, and queries with the same vector are asked
+once.
 """
 
 from __future__ import annotations
@@ -35,6 +39,17 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, p: int = 2, pivots: in
 
     ``train`` has (sample_id, x, y), ``queries`` (sample_id, x).
     """
+    copies = Window.partitionBy("x").orderBy("sample_id")
+    train = stored(
+        train.select("sample_id", "x", F.col("y").cast("double").alias("y")).withColumn("copy", F.row_number().over(copies))
+        .filter(F.col("copy") <= k).drop("copy"), "train")
+    asked_by = queries.select("sample_id", F.sha2(F.array_join(F.col("x").cast("array<string>"), ","), 256).alias("vector"), "x")
+    distinct = asked_by.groupBy("vector").agg(F.first("x").alias("x")).withColumnRenamed("vector", "sample_id")
+    near = _nearest(train, distinct, k, p, pivots, seed, chunk).withColumnRenamed("query_id", "vector")
+    return asked_by.select("vector", F.col("sample_id").alias("query_id")).join(near, "vector").drop("vector")
+
+
+def _nearest(train: DataFrame, queries: DataFrame, k: int, p: int, pivots: int | None, seed, chunk: int) -> DataFrame:
     n = train.count()
     k = min(k, n)
     count = pivots or int(min(2_048, max(4, math.isqrt(n) // 2)))
@@ -51,7 +66,7 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, p: int = 2, pivots: in
                 [batch.column("sample_id"), batch.column("x"), batch.column("y"), pa.array(cell.astype(np.int32)),
                  pa.array(d[np.arange(len(x)), cell])], ["sample_id", "x", "y", "cell", "away"])
 
-    cells = stored(train.select("sample_id", "x", F.col("y").cast("double").alias("y")).mapInArrow(
+    cells = stored(train.mapInArrow(
         assign, "sample_id string, x array<double>, y double, cell int, away double"), "neighbors")
     table = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi")).collect()
     ids = np.array([r["cell"] for r in table], dtype=np.int32)

@@ -15,6 +15,7 @@ from profuse.operators.arrays import dot_column, matrix_of, numbers_of, row_hash
 from profuse.operators.gram import member_moments, moments
 from profuse.operators.linear import LinearModel, ols
 from profuse.operators.rank import hash_rank
+from profuse.operators.small import SMALL_ROWS
 
 
 # ---- exact quantiles ---------------------------------------------------------
@@ -78,7 +79,7 @@ def hashed_subsets(df: DataFrame, subsets: int, size: int, seed: int, key: str =
             ranks = rng.permutation(ranks)[:size]
         pairs += [(s, int(k) + 1) for k in ranks]
     wanted = df.sparkSession.createDataFrame(pd.DataFrame(pairs, columns=["subset", "rank"]), "subset int, rank bigint")
-    return ranked.join(F.broadcast(wanted), "rank")
+    return ranked.join(F.broadcast(wanted) if len(pairs) <= SMALL_ROWS else wanted, "rank")
 
 
 def _subset_fits(subsets: DataFrame, x: str, y: str) -> np.ndarray:

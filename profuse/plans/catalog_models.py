@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from profuse.functions import scores
 from profuse.functions.kernels import gamma_kernel
 from profuse.operators import ensemble, evaluate, gram, impute, kernels, linear, reduce, reshape, robust, scale, split, svm, trees, tuning
+from profuse.operators.arrays import vector_to_number
 from profuse.operators.neighbors import neighbour_regression
 from profuse.operators.rank import block_of, key_rank
 from profuse.plans.catalog_kernels import KEYED, bundle_rows
@@ -15,6 +15,7 @@ from profuse.plans.catalog_linear import PAIR_SQL, model_rows, pair
 from profuse.plans.integrate import profile_rows, reduced_late_integration
 from profuse.plans.prepare import design
 from profuse.plans.registry import md5_hash, query, r, rounded
+from profuse.session import stored
 from profuse.sources import standin
 
 # Small grids for the registered runs; the full ones are in the operators.
@@ -209,7 +210,7 @@ def e4_combiner(spark, sf):
     return out.select("k", rounded(ensemble.row_mean(["p0", "p1", "p2"])).alias("prediction"))
 
 
-def four_bases(train, rows, fold=None, folds=(), passes: int = 8):
+def four_bases(train, folds=(), passes: int = 8):
     """Support vectors, ridge, elastic net and kernel ridge as fold models."""
     mapping = kernels.nystrom(train, gamma_kernel("rbf", 0.05), 20)
     return {
@@ -224,7 +225,7 @@ def four_bases(train, rows, fold=None, folds=(), passes: int = 8):
 def e4(spark, sf):
     rows, _ = design(spark, sf)
     train = train_of(rows)
-    bases = four_bases(train, rows, folds=range(1, 6))
+    bases = four_bases(train, folds=range(1, 6))
     scored = rows
     for name, models in bases.items():
         whole = ensemble.FoldModels(models.mapping, {}, models.whole)
@@ -233,7 +234,6 @@ def e4(spark, sf):
 
 
 def _whole_column(models: ensemble.FoldModels):
-    from profuse.operators.arrays import vector_to_number
     beta, bias, mapping = models.whole.coef, models.whole.intercept, models.mapping
     return vector_to_number(lambda m: (m if mapping is None else mapping.features(m)) @ beta + bias)
 
@@ -242,9 +242,9 @@ def _whole_column(models: ensemble.FoldModels):
 def e5(spark, sf):
     """Four bases' out-of-fold predictions under a forest, bagged ridge and AdaBoost."""
     rows, _ = design(spark, sf)
-    bases = four_bases(train_of(rows), rows, folds=range(1, 6))
+    bases = four_bases(train_of(rows), folds=range(1, 6))
     preds = F.array(*[m.out_of_fold(average=False) for m in bases.values()])
-    level1 = trees.with_features(ensemble.stored(rows.select("sample_id", "split", "y", preds.alias("x")), "level1"))
+    level1 = trees.with_features(stored(rows.select("sample_id", "split", "y", preds.alias("x")), "level1"))
     finals = {
         "random_forest": trees.fit_forest(train_of(level1), trees=10, max_depth=4).transform(level1),
         "bagging": ensemble.bag_linear(train_of(level1), linear.ridge, 10, alpha=1.0).transform(level1),
