@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -205,11 +204,3 @@ def passive_aggressive(df: DataFrame, c: float = 1.0, epsilon: float = 0.1, epoc
             break
     return LinearModel(beta[1:], float(beta[0]), {"C": c})
 
-
-# Search grids.
-GRIDS: dict[str, dict[str, Sequence]] = {
-    "passive_aggressive": {"c": [0.1, 1, 3, 10, 20]},
-    "ransac": {"min_samples": [0.5, 0.7, 0.85, 1]},
-    "theil_sen": {},
-    "huber": {},
-}

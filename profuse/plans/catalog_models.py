@@ -12,6 +12,7 @@ from profuse.operators.neighbors import neighbour_regression
 from profuse.operators.rank import block_of, key_rank
 from profuse.plans.catalog_kernels import KEYED, bundle_rows
 from profuse.plans.catalog_linear import PAIR_SQL, model_rows, pair
+from profuse.plans import early
 from profuse.plans.integrate import profile_rows, reduced_late_integration
 from profuse.plans.prepare import design
 from profuse.plans.registry import md5_hash, query, r, rounded
@@ -281,3 +282,26 @@ def e9(spark, sf):
     rows = profile_rows(spark, sf, ("mix", "share"))
     found = reduced_late_integration(rows, "pca", {"n_components": [2, 4]}, **{**SMALL, "grid0": {"kernel": ["linear"], "C": [1]}})
     return model_rows(spark, [(tuning.params_text(p), m) for p, m in found], "params string, mse double").select("params", rounded("mse", 5).alias("mse"))
+
+
+# ---- leaderboards ------------------------------------------------------------
+
+def _board(name: str, spaces: dict):
+    """Small grids with two folds; the full grids are in ``plans.early``."""
+
+    @query(name)
+    def run(spark, sf):
+        rows, _ = design(spark, sf, folds=2)
+        board = early.leaderboard(rows, spaces, 2)
+        return model_rows(spark, board, tuning.LEADERBOARD_SCHEMA).select(
+            "model", "params", rounded("cv_r2", 4).alias("cv_r2"), rounded("test_mse", 4).alias("test_mse"))
+    return run
+
+
+_board("t7_robust_leaderboard", {"passive_aggressive": {"c": [0.1]}, "ransac": {"min_samples": [0.85]}, "huber": {}})
+_board("t7_nonlinear_leaderboard", {
+    "svr": {"kernel": ["linear"], "C": [1.0], "passes": [5]}, "knn": {"k": [10]}, "gaussian_process": {},
+    "tree": {"max_depth": [2, 4]}, "kernel_ridge": {"kernel": ["rbf"]}, "nn": {"hidden": [(10, 3)], "activation": ["tanh"], "epochs": [5]}})
+_board("t7_ensemble_leaderboard", {
+    "random_forest": {"n_estimators": [10], "max_depth": [4]}, "bagging": {"n_estimators": [10], "bootstrap_features": [True, False]},
+    "adaboost": {"rounds": [2]}})
