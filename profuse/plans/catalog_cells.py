@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from profuse.functions import text
 from profuse.operators import align, labels, quality, reshape, scale, split
 from profuse.plans.registry import ALL, md5_hash, query, r, rounded
-from profuse.session import scratch_path
+from profuse.session import scratch_path, stored
 from profuse.sources import delimited, packed, standin
 
 # Fixed values of the examples: whitelist, substring list and scan settings.
@@ -295,7 +295,7 @@ def j1(spark, sf):
 
 @query("j2_restrict_samples", f", {SHARED_SQL} {CELLS_OUT} FROM cells WHERE sample_id IN (SELECT sample_id FROM shared)", [*ALL, "response"])
 def j2(spark, sf):
-    cells = standin.profiles(spark, sf)
+    cells = stored(standin.profiles(spark, sf), "cells")
     return cells_out(align.restrict(cells, align.shared_samples(cells, standin.response(spark, sf), 5)))
 
 
@@ -345,7 +345,7 @@ def j7(spark, sf):
 
 @query("j8_complement", ", " + SPLIT_SQL.format(source="share") + f"SELECT sample_id, feature, {r('value')} AS value FROM share WHERE sample_id NOT IN (SELECT sample_id FROM parts WHERE split = 'train')", ["share"])
 def j8(spark, sf):
-    cells = standin.share(spark, sf)
+    cells = stored(standin.share(spark, sf), "cells")
     train = split.train_test(cells.select("sample_id").distinct(), 7).filter(F.col("split") == "train")
     return align.exclude(cells, train).select("sample_id", "feature", rounded("value").alias("value"))
 
@@ -407,20 +407,20 @@ SELECT profile, feature, count(*)::bigint AS n_rows FROM cells
 WHERE NOT regexp_matches(feature, '^Brand#1') OR feature IN (SELECT feature FROM cells GROUP BY profile, feature HAVING var_samp(log2(value + 1)) >= 1.8)
 GROUP BY profile, feature""", list(ALL))
 def a4(spark, sf):
-    logged = scale.log_scale(standin.profiles(spark, sf))
+    logged = scale.log_scale(stored(standin.profiles(spark, sf), "cells"))
     return quality.keep_var_samp(logged, 1.8, "^Brand#1").groupBy("profile", "feature").agg(F.count("*").alias("n_rows"))
 
 
 @query("a5_sample_row_variance_filter", "SELECT profile, sample_id, count(*)::bigint AS n_rows FROM spend GROUP BY profile, sample_id HAVING var_samp(log2(value + 1)) >= 1.0", ["spend"])
 def a5(spark, sf):
-    logged = scale.log_scale(standin.spend(spark, sf))
+    logged = scale.log_scale(stored(standin.spend(spark, sf), "cells"))
     return quality.keep_sample_var(logged, 1.0).groupBy("profile", "sample_id").agg(F.count("*").alias("n_rows"))
 
 
 @query("a6_population_variance_filter", """
 SELECT profile, feature, count(*)::bigint AS n_rows FROM cells GROUP BY profile, feature HAVING var_pop(log2(value + 1)) > 0.02""", list(ALL))
 def a6(spark, sf):
-    logged = scale.log_scale(standin.profiles(spark, sf))
+    logged = scale.log_scale(stored(standin.profiles(spark, sf), "cells"))
     return quality.keep_var_pop(logged, 0.02).groupBy("profile", "feature").agg(F.count("*").alias("n_rows"))
 
 
@@ -429,7 +429,7 @@ filled AS (SELECT profile, sample_id, feature, coalesce(log2(value + 1), 0) AS v
 wide AS (SELECT * FROM filled WHERE feature IN (SELECT feature FROM filled GROUP BY feature HAVING var_samp(value) >= 1.0))
 SELECT profile, sample_id, count(*)::bigint AS n_rows FROM wide GROUP BY profile, sample_id HAVING var_samp(value) >= 1.0""", ["spend"])
 def a7(spark, sf):
-    grid = scale.log_scale(reshape.fill_grid(standin.spend(spark, sf)))
+    grid = scale.log_scale(reshape.fill_grid(stored(standin.spend(spark, sf), "cells")))
     return quality.consensus(grid, 1.0).groupBy("profile", "sample_id").agg(F.count("*").alias("n_rows"))
 
 
@@ -455,7 +455,7 @@ def m2(spark, sf):
 SELECT profile, sample_id, feature, {r('(value - m) / CASE WHEN s = 0 THEN 1 ELSE s END')} AS value FROM (
   SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM cells WINDOW w AS (PARTITION BY profile, feature))""", list(ALL))
 def m3(spark, sf):
-    return cells_out(scale.zscore(standin.profiles(spark, sf)))
+    return cells_out(scale.zscore(stored(standin.profiles(spark, sf), "cells")))
 
 
 MINMAX = "(value - min(value) OVER w) / CASE WHEN max(value) OVER w = min(value) OVER w THEN 1 ELSE max(value) OVER w - min(value) OVER w END"
@@ -463,7 +463,7 @@ MINMAX = "(value - min(value) OVER w) / CASE WHEN max(value) OVER w = min(value)
 
 @query("m4_minmax", f"SELECT profile, sample_id, feature, {r(MINMAX)} AS value FROM cells WINDOW w AS (PARTITION BY profile, feature)", list(ALL))
 def m4(spark, sf):
-    return cells_out(scale.minmax(standin.profiles(spark, sf)))
+    return cells_out(scale.minmax(stored(standin.profiles(spark, sf), "cells")))
 
 
 @query("m5_minmax_range", f"SELECT profile, sample_id, feature, {r('(' + MINMAX + ') * 4.0 - 2.0')} AS value FROM mix WINDOW w AS (PARTITION BY profile, feature)", ["mix"])
@@ -476,7 +476,7 @@ def m5(spark, sf):
 SELECT split, sample_id, feature, {r('(value - m) / CASE WHEN s = 0 THEN 1 ELSE s END')} AS value
 FROM share JOIN parts USING (sample_id) JOIN st USING (feature)""", ["share"])
 def m6(spark, sf):
-    cells = standin.share(spark, sf)
+    cells = stored(standin.share(spark, sf), "cells")
     parted = split.apply_split(cells, split.train_test(cells.select("sample_id").distinct(), 7))
     scaler = scale.fit_zscore(parted.filter(F.col("split") == "train"))
     return scaler.transform(parted).select("split", "sample_id", "feature", rounded("value").alias("value"))
@@ -486,7 +486,7 @@ def m6(spark, sf):
 
 @query("k1_train_test", ", " + SPLIT_SQL.format(source="cells") + "SELECT profile, split, count(DISTINCT sample_id)::bigint AS n_samples, count(*)::bigint AS n_cells FROM cells JOIN parts USING (sample_id) GROUP BY profile, split", list(ALL))
 def k1(spark, sf):
-    cells = standin.profiles(spark, sf)
+    cells = stored(standin.profiles(spark, sf), "cells")
     parted = split.apply_split(cells, split.train_test(cells.select("sample_id").distinct(), 7))
     per = parted.groupBy("profile", "split", "sample_id").agg(F.count("*").alias("n"))
     return per.groupBy("profile", "split").agg(F.count("*").alias("n_samples"), F.sum("n").alias("n_cells"))
@@ -529,7 +529,7 @@ SELECT profile, sample_id, feature, {r('value')} AS value FROM cells SEMI JOIN (
   SELECT profile, feature FROM (SELECT profile, feature, row_number() OVER (PARTITION BY profile ORDER BY feature) AS k
     FROM (SELECT DISTINCT profile, feature FROM cells)) WHERE k <= 3) USING (profile, feature)""", list(ALL))
 def k8(spark, sf):
-    cells = standin.profiles(spark, sf)
+    cells = stored(standin.profiles(spark, sf), "cells")
     kept = split.first_features(split.feature_table(cells), 3)
     return cells_out(align.restrict_features(cells, kept))
 

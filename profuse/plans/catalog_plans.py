@@ -9,6 +9,7 @@ from profuse.operators import labels, quality, scale
 from profuse.plans import cohort, prepare
 from profuse.plans.catalog_cells import CELLS_OUT, SPLIT_SQL, WHITELIST, cells_out, grid_sql, names_frame
 from profuse.plans.registry import ALL, md5_hash, query, r, rounded
+from profuse.session import stored
 from profuse.sources import standin
 
 LABEL_LENGTH = 16  # "S" + 12 digits + a three-character type code
@@ -20,7 +21,7 @@ LABEL_LENGTH = 16  # "S" + 12 digits + a three-character type code
 SELECT feature, count(*)::bigint AS n_samples, {r('avg(v)')} AS mean, {r('var_pop(v)')} AS variance FROM scaled GROUP BY feature HAVING var_pop(v) > 0.001""", ["spend"])
 def feature_summary(spark, sf):
     """Log, scale and filter one profile, then summarise its features."""
-    kept = quality.keep_var_pop(scale.minmax(scale.log_scale(standin.spend(spark, sf))), 0.001)
+    kept = quality.keep_var_pop(scale.minmax(scale.log_scale(stored(standin.spend(spark, sf), "cells"))), 0.001)
     return kept.groupBy("feature").agg(
         F.count("*").alias("n_samples"), rounded(F.avg("value")).alias("mean"), rounded(F.var_pop("value")).alias("variance"))
 
@@ -129,7 +130,7 @@ DEMO = ["AF", "NO", "RF"]
 st AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM kept JOIN parts USING (sample_id) WHERE split = 'train' GROUP BY feature)
 SELECT split, sample_id, feature, {r('(value - m) / s')} AS value FROM kept JOIN parts USING (sample_id) JOIN st USING (feature)""", ["mix"])
 def w4(spark, sf):
-    return prepare.demo_set(standin.mix(spark, sf), DEMO, 10.0, 7).select(
+    return prepare.demo_set(stored(standin.mix(spark, sf), "cells"), DEMO, 10.0, 7).select(
         "split", "sample_id", "feature", rounded("value").alias("value"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from profuse.functions import text
 from profuse.operators import align, labels, quality
+from profuse.session import stored
 
 
 def clean_packed(raw: DataFrame, profile: str) -> DataFrame:
@@ -42,6 +43,7 @@ def build(parts: list[DataFrame], response: DataFrame, suffix: str = "-01") -> D
     cells = parts[0]
     for part in parts[1:]:
         cells = cells.unionByName(part)
+    cells = stored(cells, "cohort")  # read for the shared samples and again for the cells
     outcome = response.withColumn("sample_id", text.add_suffix(F.col("sample_id"), suffix))
     return align.restrict(cells, align.shared_samples(cells, outcome, len(parts) + 1))
 
