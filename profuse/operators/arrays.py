@@ -68,7 +68,14 @@ def sum_partials(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], di
     ``partial`` folds a task's batches into ``{name: matrix}``.  Every matrix row
     travels as one record and rows with the same place are summed by Spark, so
     the reduction is spread over matrix rows and only the result is collected.
+
+    A task sends its whole sums whatever its input size.  For wide matrices on
+    very many splits set ``spark.profuse.partialTasks``: the scan then runs in at
+    most that many tasks (splits are merged without a shuffle).
     """
+    tasks = df.sparkSession.conf.get("spark.profuse.partialTasks", None)
+    if tasks is not None:
+        df = df.coalesce(int(tasks))
 
     def emit(batches):
         for name, matrix in partial(batches).items():

@@ -41,8 +41,9 @@ def to_vectors(cells: DataFrame, names: Sequence[str], fill: float | None = None
         return cells.groupBy("sample_id", *keep).agg(F.array(*slots).alias("x"))
     dictionary = cells.sparkSession.createDataFrame(
         [(n, i) for i, n in enumerate(names)], "feature string, idx int")
-    packed = cells.join(F.broadcast(dictionary), "feature").filter(F.col("value").isNotNull()).groupBy(
-        "sample_id", *keep).agg(F.collect_list("idx").alias("idx"), F.collect_list("value").alias("val"))
+    single = cells.join(F.broadcast(dictionary), "feature").filter(F.col("value").isNotNull()).groupBy(
+        "sample_id", *keep, "idx").agg(F.max("value").alias("value"))  # repeated cells never pile up in a list
+    packed = single.groupBy("sample_id", *keep).agg(F.collect_list("idx").alias("idx"), F.collect_list("value").alias("val"))
     width, gap = len(names), np.nan if fill is None else float(fill)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

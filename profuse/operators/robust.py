@@ -15,6 +15,7 @@ from profuse.operators.gram import member_moments, moments
 from profuse.operators.linear import LinearModel, ols
 from profuse.operators.rank import hash_rank
 from profuse.operators.small import SMALL_ROWS
+from profuse.session import stored
 
 
 # ---- exact quantiles ---------------------------------------------------------
@@ -53,6 +54,7 @@ def _order_statistics(v: DataFrame, low: float, high: float, a: int, b: int, bin
 
 def median_deviation(df: DataFrame, column: str = "y") -> float:
     """Median absolute deviation from the median."""
+    df = stored(df.select(column), "column")  # one narrow column, scanned several times
     middle = exact_quantile(df, column, 0.5)
     return exact_quantile(df.select(F.abs(F.col(column) - middle).alias("d")), "d", 0.5)
 

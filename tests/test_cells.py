@@ -132,7 +132,7 @@ def test_missing_labels(spark):
 
 
 def test_wide_and_narrow_vectors_agree(spark, monkeypatch):
-    df = cells(spark, [("a", "f", 1.0), ("a", "h", 3.0), ("b", "g", 2.0)])
+    df = cells(spark, [("a", "f", 1.0), ("a", "h", 3.0), ("b", "g", 2.0), ("b", "g", 1.5)])
     narrow = {r["sample_id"]: r["x"] for r in reshape.to_vectors(df, ["f", "g", "h"]).collect()}
     filled = {r["sample_id"]: r["x"] for r in reshape.to_vectors(df, ["f", "g", "h"], 0.0).collect()}
     monkeypatch.setattr(reshape, "PIVOT_LIMIT", 0)
