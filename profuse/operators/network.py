@@ -281,6 +281,26 @@ def train(df: DataFrame, jobs: Sequence[Job], batches: int = 1, x: str = "x", y:
     return jobs
 
 
+def mean_gradient(df: DataFrame, net: Network, x: str = "x", y: str = "y") -> tuple[float, list[np.ndarray]]:
+    """Mean squared error and its gradient over all rows, without dropout."""
+    source = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"))
+
+    def partial(batches):
+        out: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            sse, grads = net.gradient(matrix_of(batch.column("x")), numbers_of(batch.column("y")))
+            out["n"] = out.get("n", 0.0) + np.array([[batch.num_rows, sse]])
+            for k, g in enumerate(grads):
+                out[str(k)] = out.get(str(k), 0.0) + g
+        return out
+
+    sums = sum_partials(source, partial)
+    n, sse = sums["n"][0]
+    return float(sse / n), [sums[str(k)] / n for k in range(len(net.weights))]
+
+
 def _gradients(batches, task, epoch: int, part: int, parts: int) -> dict[str, np.ndarray]:
     out: dict[str, np.ndarray] = {}
     for batch in batches:

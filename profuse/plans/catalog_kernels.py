@@ -139,6 +139,39 @@ def q6(spark, sf):
         rounded("linear", 5).alias("linear"), rounded("rbf", 5).alias("rbf"))
 
 
+TWO_MAPS_SQL = f"""WITH {KEYED}, {MARKS}, {PRODUCTS.format(n=1)},
+z AS (SELECT sum(b * b) AS zz FROM (SELECT unnest(z) AS b FROM marks WHERE l = 0)),
+g AS (SELECT sample_id, y, dot / sqrt(zz) AS g1, exp(-sq / 8) AS g2 FROM prod CROSS JOIN z),
+s AS (SELECT regr_sxx(y, g1) AS s11, regr_sxx(y, g2) AS s22, regr_sxy(g1, g2) AS s12, regr_sxy(y, g1) AS b1, regr_sxy(y, g2) AS b2, avg(g1) AS m1, avg(g2) AS m2, avg(y) AS my FROM g)"""
+
+
+def two_maps(rows):
+    return [kernels.nystrom(rows, Kernel("linear"), 1), kernels.nystrom(rows, Kernel("rbf", {"sigma": 2.0}), 1)]
+
+
+@query("q7_alignf_two_kernels", f"""{TWO_MAPS_SQL},
+w AS (SELECT (s22 ** 2 * b1 ** 2 - s12 ** 2 * b2 ** 2) AS u1, (s11 ** 2 * b2 ** 2 - s12 ** 2 * b1 ** 2) AS u2 FROM s)
+SELECT {r('u1 / (u1 + u2)', 5)} AS linear, {r('u2 / (u1 + u2)', 5)} AS rbf FROM w""")
+def q7_two(spark, sf):
+    rows = bundle_rows(spark, sf)
+    mu = kernels.alignf(*kernels.block_moments(rows, two_maps(rows)))
+    return spark.createDataFrame([tuple(map(float, mu))], "linear double, rbf double").select(
+        rounded("linear", 5).alias("linear"), rounded("rbf", 5).alias("rbf"))
+
+
+@query("q8_combined_two_kernels", f"""{TWO_MAPS_SQL},
+m AS (SELECT *, b1 ** 2 / (b1 ** 2 + b2 ** 2) AS mu1, b2 ** 2 / (b1 ** 2 + b2 ** 2) AS mu2 FROM s),
+a AS (SELECT *, mu1 * s11 + 10 AS p, mu2 * s22 + 10 AS q, sqrt(mu1 * mu2) * s12 AS c, sqrt(mu1) * b1 AS e, sqrt(mu2) * b2 AS f FROM m),
+w AS (SELECT *, (q * e - c * f) / (p * q - c * c) AS w1, (p * f - c * e) / (p * q - c * c) AS w2 FROM a)
+SELECT sample_id, {r('my + w1 * sqrt(mu1) * (g1 - m1) + w2 * sqrt(mu2) * (g2 - m2)')} AS prediction FROM g CROSS JOIN w""")
+def q8_two(spark, sf):
+    rows = bundle_rows(spark, sf)
+    maps = two_maps(rows)
+    mu = kernels.align(*kernels.block_moments(rows, maps))
+    fit = kernels.kernel_ridge(rows, maps, 10.0, mu / mu.sum())
+    return fit.transform(rows).select("sample_id", rounded("prediction").alias("prediction"))
+
+
 @query("q7_alignf_weights")
 def q7(spark, sf):
     rows = bundle_rows(spark, sf)

@@ -110,6 +110,54 @@ def l4_line(spark, sf):
         "alpha", rounded("slope").alias("slope"), rounded("intercept").alias("intercept"))
 
 
+TWO_SQL = f"""{PAIR_SQL}, s AS (SELECT regr_sxx(y, x) AS a11, regr_sxx(y, x2) AS a22, regr_sxy(x2, x) AS a12, regr_sxy(y, x) AS b1, regr_sxy(y, x2) AS b2,
+  avg(x) AS m1, avg(x2) AS m2, avg(y) AS my FROM pair),
+t AS (SELECT *, abs(b1) >= abs(b2) AS one, CASE WHEN abs(b1) >= abs(b2) THEN a11 ELSE a22 END AS aj, CASE WHEN abs(b1) >= abs(b2) THEN b1 ELSE b2 END AS bj,
+  CASE WHEN abs(b1) >= abs(b2) THEN b2 ELSE b1 END AS bk FROM s)"""
+
+
+def _two(name: str, sql: str, fit):
+    """One-feature fits chosen from two features."""
+
+    @query(name, f"WITH {TWO_SQL}, {sql}, w AS (SELECT CASE WHEN one THEN wj ELSE 0 END AS w1, CASE WHEN one THEN 0 ELSE wj END AS w2, m1, m2, my FROM f) "
+                 f"SELECT {r('w1')} AS w1, {r('w2')} AS w2, {r('my - w1 * m1 - w2 * m2')} AS intercept FROM w")
+    def run(spark, sf):
+        found = fit(gram.moments(pair(spark, sf, True))["all"])
+        return model_rows(spark, [(*map(float, found.coef), found.intercept)], "w1 double, w2 double, intercept double").select(
+            *[rounded(c).alias(c) for c in ("w1", "w2", "intercept")])
+    return run
+
+
+_two("l5_lars_one_of_two", """u AS (SELECT *, abs(bj) AS c, a12 * sign(bj) / aj AS d FROM t),
+g AS (SELECT *, least(c, CASE WHEN d < 1 AND c - bk > 0 THEN (c - bk) / (1 - d) ELSE c END, CASE WHEN d > -1 AND c + bk > 0 THEN (c + bk) / (1 + d) ELSE c END) AS gamma FROM u),
+f AS (SELECT *, gamma * sign(bj) / aj AS wj FROM g)""", lambda m: linear.lars(m, 1))
+_two("l7_pursuit_one_of_two", "f AS (SELECT *, bj / aj AS wj FROM t)", lambda m: linear.matching_pursuit(m, 1))
+
+
+@query("l6_lasso_lars_line", f"""WITH {PAIR_SQL}, s AS (SELECT covar_pop(y, x) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my, avg(x * x) AS xx, avg(x * y) AS xy FROM pair),
+w AS (SELECT a, true AS fit_intercept, sign(c) * greatest(abs(c) - a, 0) / v AS slope, mx, my FROM s CROSS JOIN (VALUES (0.0001::double), (0.001::double), (0.01::double)) AS g(a)
+  UNION ALL SELECT a, false, sign(xy) * greatest(abs(xy) - a, 0) / xx, mx, my FROM s CROSS JOIN (VALUES (0.0001::double), (0.001::double), (0.01::double)) AS g(a))
+SELECT a AS alpha, fit_intercept, {r('slope')} AS slope, {r('CASE WHEN fit_intercept THEN my - slope * mx ELSE 0 END')} AS intercept FROM w""")
+def l6_line(spark, sf):
+    m = gram.moments(pair(spark, sf))["all"]
+    fits = [(a, flag, linear.lasso_lars(m, a, flag)) for a in (0.0001, 0.001, 0.01) for flag in (True, False)]
+    rows = [(a, flag, float(f.coef[0]), f.intercept) for a, flag, f in fits]
+    return model_rows(spark, rows, "alpha double, fit_intercept boolean, slope double, intercept double").select(
+        "alpha", "fit_intercept", rounded("slope").alias("slope"), rounded("intercept").alias("intercept"))
+
+
+@query("l8_bayesian_ridge_line", f"""WITH RECURSIVE {PAIR_SQL}, s AS (SELECT count(*)::double AS n, regr_sxx(y, x) AS l, regr_sxy(y, x) AS b, regr_syy(y, x) AS c, avg(x) AS mx, avg(y) AS my FROM pair),
+loop AS (SELECT 0 AS step, 0::double AS w, n / c AS noise, 1::double AS weight, false AS done FROM s
+  UNION ALL SELECT step + 1, new, (n - used + 2e-6) / (c - 2 * new * b + new * new * l + 2e-6), (used + 2e-6) / (new * new + 2e-6), step > 0 AND abs(new - w) < 1e-3
+  FROM (SELECT step, w, n, c, b, l, b / (l + weight / noise) AS new, noise * l / (weight + noise * l) AS used FROM loop CROSS JOIN s WHERE NOT done AND step < 300)),
+z AS (SELECT b / (l + weight / noise) AS slope, mx, my FROM (SELECT * FROM loop ORDER BY step DESC LIMIT 1) CROSS JOIN s)
+SELECT {r('slope')} AS slope, {r('my - slope * mx')} AS intercept FROM z""")
+def l8_line(spark, sf):
+    fit = linear.bayesian_ridge(gram.moments(pair(spark, sf))["all"])
+    return model_rows(spark, [(float(fit.coef[0]), fit.intercept)], "slope double, intercept double").select(
+        rounded("slope").alias("slope"), rounded("intercept").alias("intercept"))
+
+
 @query("t2_grid_search", f"""WITH {PAIR_SQL},
 f AS (SELECT *, ntile(5) OVER (ORDER BY {md5_hash(4, 'k')}, k) AS fold FROM pair),
 t AS (SELECT g.fold, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy FROM f JOIN (VALUES (1), (2), (3), (4), (5)) AS g(fold) ON f.fold <> g.fold GROUP BY g.fold),

@@ -26,6 +26,19 @@ def n1(spark, sf):
     return pair(spark, sf, True).select("k", rounded(vector_to_number(net.predict)).alias("y"))
 
 
+@query("n2_network_gradient", f"""WITH {PAIR_SQL}, f AS (SELECT *, tanh(0.3 * x - 0.2 * x2 + 0.1) AS h FROM pair),
+g AS (SELECT *, 0.7 * h + 0.05 - y AS gap FROM f), d AS (SELECT *, 2 * gap * 0.7 * (1 - h * h) AS dz FROM g)
+SELECT {r('avg(gap * gap)')} AS loss, {r('avg(dz * x)')} AS w1, {r('avg(dz * x2)')} AS w2, {r('avg(dz)')} AS b1, {r('avg(2 * gap * h)')} AS v, {r('avg(2 * gap)')} AS b2 FROM d""")
+def n2_gradient(spark, sf):
+    """Loss and mean gradient of a fixed two-layer network over all rows."""
+    layout = network.Dense(network.Dense(network.Input("x"), 1, "tanh"), 1, "linear")
+    net = network.Network(layout, {"x": (0, 2)}, [np.array([[0.3], [-0.2]]), np.array([[0.1]]), np.array([[0.7]]), np.array([[0.05]])])
+    loss, grads = network.mean_gradient(pair(spark, sf, True), net)
+    names = ["loss", "w1", "w2", "b1", "v", "b2"]
+    row = (loss, *[float(v) for g in grads for v in g.ravel()])
+    return model_rows(spark, [row], ", ".join(f"{n} double" for n in names)).select(*[rounded(n).alias(n) for n in names])
+
+
 def blocks_of(names) -> dict:
     out = {"all": (0, len(names))}
     for profile in {n.split(":", 1)[0] for n in names}:
