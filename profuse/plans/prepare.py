@@ -92,20 +92,22 @@ def demo_set(cells: DataFrame, names: Sequence[str], threshold: float, seed: int
 # ---- design matrices ---------------------------------------------------------
 
 EARLY = ("spend", "mix", "share")
+TARGET = "response:y"
 
 
-def scaled_cells(spark: SparkSession, sf: str, names: Sequence[str] = EARLY) -> DataFrame:
-    """Log (spend) and min-max cells with profile-qualified feature names.
-
-    The raw cells are written once: statistics and every later pass read them
-    instead of repeating the joins.
-    """
+def raw_cells(spark: SparkSession, sf: str, names: Sequence[str]) -> DataFrame:
+    """Unscaled cells (spend in logs) with profile-qualified feature names."""
     out = None
     for name in names:
         cells = standin.BUILDERS[name](spark, sf)
         part = scale.log_scale(cells) if name == "spend" else cells
         out = part if out is None else out.unionByName(part)
-    return scale.minmax(stored(out.withColumn("feature", F.concat("profile", F.lit(":"), "feature")), "cells"))
+    return out.withColumn("feature", F.concat("profile", F.lit(":"), "feature"))
+
+
+def scaled_cells(spark: SparkSession, sf: str, names: Sequence[str] = EARLY) -> DataFrame:
+    """Min-max cells; the raw ones are written once, so the fit does not repeat the joins."""
+    return scale.minmax(stored(raw_cells(spark, sf, names), "cells"))
 
 
 def outcome(spark: SparkSession, sf: str, name: str = "max_price") -> DataFrame:
@@ -118,12 +120,20 @@ def design(spark: SparkSession, sf: str, names: Sequence[str] = EARLY, folds: in
            fill: float | None = 0.0) -> tuple[DataFrame, tuple[str, ...]]:
     """(sample_id, x, y, split, fold) with all profiles fused; absent cells mean 0.
 
-    The result is written once, so every later pass is a column scan.
+    The response is stacked under the profiles as one more feature, so cells and
+    outcome are written once and one aggregate per sample gives both x and y.
     """
-    cells = scaled_cells(spark, sf, names)
-    order = reshape.feature_names(cells)
-    vectors = reshape.to_vectors(cells, order, fill)
-    rows = vectors.join(outcome(spark, sf), "sample_id")
+    y = outcome(spark, sf).select(
+        F.lit("response").alias("profile"), "sample_id", F.lit(TARGET).alias("feature"), F.col("y").alias("value"))
+    raw = stored(raw_cells(spark, sf, names).unionByName(y), "cells")
+    scaler = scale.fit_minmax(raw.filter(F.col("profile") != "response"))
+    order = reshape.feature_names(scaler.stats)
+    scaled = scaler.transform(raw.filter(F.col("profile") != "response"))
+    vectors = reshape.to_vectors(scaled.unionByName(raw.filter(F.col("profile") == "response")), [*order, TARGET])
+    x = F.slice("x", 1, len(order))
+    known = F.exists(x, lambda v: v.isNotNull()) & F.col("x")[len(order)].isNotNull()
+    filled = x if fill is None else F.transform(x, lambda v: F.coalesce(v, F.lit(float(fill))))
+    rows = vectors.filter(known).select("sample_id", filled.alias("x"), F.col("x")[len(order)].alias("y"))
     return stored(with_folds(rows, folds, seed), "design"), order
 
 
