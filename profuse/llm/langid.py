@@ -46,7 +46,7 @@ def _mark(text: str, seen: np.ndarray) -> bool:
         code = np.concatenate([tail, code[letter | np.concatenate(([True], letter[:-1]))].astype(np.uint64)])
         if len(tail) and tail[-1] == 32 and len(code) > len(tail) and code[len(tail)] == 32:
             code = np.delete(code, len(tail))
-        if at + PIECE >= len(text):
+        if at + PIECE >= len(text) and code[-1] != 32:
             code = np.concatenate([code, np.array([32], dtype=np.uint64)])
         rolled = np.zeros(len(code), dtype=np.uint64)
         for n in range(1, max(LENGTHS) + 1):

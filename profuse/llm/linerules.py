@@ -55,16 +55,20 @@ def stutters(found: Column) -> Column:
     return F.size(F.filter(found, lambda w, i: F.coalesce(F.get(found, i - 1) == w, F.lit(False))))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line is navigation, boilerplate or has the punctuation of neither prose nor verse."""
-    low = F.lower(F.trim(line))
-    boiler = F.lit(False)
+def is_boilerplate(line: Column) -> Column:
+    """Whether a line holds a phrase of notices and licences."""
+    low, found = F.lower(line), F.lit(False)
     for phrase in BOILERPLATE:
-        boiler = boiler | F.contains(low, F.lit(phrase))
+        found = found | F.contains(low, F.lit(phrase))
+    return found
+
+
+def line_fails(line: Column) -> Column:
+    """Whether a line is navigation or has the punctuation of neither prose nor verse."""
     symbols = F.regexp_count(line, F.lit(f"[{SYMBOLS}]")) > MAX_SYMBOL_SHARE * F.length(line)
     shouting = F.regexp_count(line, F.lit("!!")) * 20 > F.length(line)
     salad = ~line.rlike(r"[.,;:!?…。]") & (F.regexp_count(line, F.lit(SPACE)) >= SALAD_WORDS)
-    return symbols | shouting | salad | boiler | low.rlike(MENU_LINE)
+    return symbols | shouting | salad | F.lower(F.trim(line)).rlike(MENU_LINE)
 
 
 def _row(t: Column) -> Column:
@@ -77,12 +81,12 @@ def _row(t: Column) -> Column:
 
     def by_lines(all_lines: Column) -> Column:
         worded = F.filter(all_lines, has_word)
-        kept = F.filter(all_lines, lambda line: ~line_fails(line))
+        own = F.filter(all_lines, lambda line: ~is_boilerplate(line))
         total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, line: a + F.length(line))
         return F.struct(
             let(worded, lambda w: F.size(w) - F.size(F.array_distinct(w))).cast("long").alias("n_dup_lines"),
-            total(all_lines).alias("chars"),
-            let(kept, lambda k: F.struct(total(k).alias("chars"), F.size(k).alias("lines"), F.array_join(k, "\n").alias("text"))).alias("kept"),
+            let(own, lambda o: let(F.filter(o, lambda line: ~line_fails(line)), lambda k: F.struct(
+                total(o).alias("own_chars"), total(k).alias("chars"), F.size(k).alias("lines"), F.array_join(k, "\n").alias("text")))).alias("kept"),
             F.size(all_lines).alias("lines"))
 
     return F.struct(
@@ -96,9 +100,9 @@ def verdict(text: str = "text") -> Column:
     def judged(r: Column) -> Column:
         w, lines = r["w"], r["l"]
         failed = (w["n_words"] < MIN_WORDS) | (100 * w["n_repeat_words"] > MAX_REPEAT_PERCENT * w["n_words"])
-        lost = lines["chars"] - lines["kept"]["chars"]
-        # Text in a stutter counts as lost where it outweighs the rest.
-        good = (lost <= MAX_LOST * lines["chars"]) & (w["stutters"] <= MAX_STUTTER_SHARE * w["n_words"])
+        own, left = lines["kept"]["own_chars"], lines["kept"]["chars"]
+        # Boilerplate goes but is not held against the rest; text in a stutter counts as lost where it outweighs the rest.
+        good = (left > 0) & (own - left <= MAX_LOST * own) & (w["stutters"] <= MAX_STUTTER_SHARE * w["n_words"])
         return F.struct(
             w["n_words"].alias("n_words"), r["word_chars"].alias("word_chars"), r["n_symbols"].alias("n_symbols"),
             lines["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"),

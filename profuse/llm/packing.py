@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_left
 from collections import deque
 
 import numpy as np
@@ -28,9 +29,9 @@ from profuse.session import stored
 
 WINDOW = 2048
 END_OF_TEXT = 1
-STRIDE = 128
+STRIDE = 32
 STRETCH = 1 << 18
-SENTENCE_COST, STRIDE_COST = 4, 48
+SENTENCE_COST, STRIDE_COST = 4, 16
 PIECE = 1 << 20
 
 
@@ -104,7 +105,8 @@ def best_cuts(at: list[int], cost: list[int], window: int = WINDOW) -> list[int]
     """Window ends (from ``at``) that cover 0..at[-1] with the least padding plus penalties.
 
     best[j] = min over i with at[j] - at[i] <= window of best[i] + at[i], plus
-    window - at[j] + cost[j]; the minimum runs over a monotone queue.
+    window - at[j] + cost[j]; the minimum runs over a monotone queue.  The last
+    window is open: it costs no padding.
     """
     points = [0, *at]
     best, back = [0] * len(points), [0] * len(points)
@@ -118,7 +120,9 @@ def best_cuts(at: list[int], cost: list[int], window: int = WINDOW) -> list[int]
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, j))
-    cuts, j = [], len(points) - 1
+    j = len(points) - 1
+    back[j] = min((k for k in range(bisect_left(points, points[j] - window), j)), key=lambda k: best[k])
+    cuts = []
     while j:
         cuts.append(points[j])
         j = back[j]

@@ -231,19 +231,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ``component_id`` is the least key reachable over fingerprints within 3 bits.
     Null and empty texts and texts without words have fingerprint 0.  Copies
     share their fingerprint and are grouped before anything is compared.  A row
-    without a key gets the component of its fingerprint and names none; repeated
-    rows each get a row.  Other columns are not read.
+    without a key gets the component of its fingerprint and names none; rows
+    that share a key are linked, and repeated rows each get a row.  Other columns
+    are not read.
     """
     marked = docs.withColumn("_hash", F.xxhash64(F.col(text).cast("string")))
     rows = stored(fingerprints(marked, text, key, "_hash").toDF("id", "text_hash", "fp"), "prints")
     prints = stored(rows.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n")), "distinct")
     named = prints.where("node is not null")
     population, total = named.count(), rows.count()
-    roots = components(links(named, population), "near").toDF("node", "root") if population else None
-    if roots is None:
-        classes = prints.select("fp", "n", F.col("node").alias("component_id"))
-    else:
-        classes = prints.join(roots, "node", "left").select("fp", "n", F.coalesce("root", "node").alias("component_id"))
+    ties = links(named, population)
+    several = stored(rows.where("id is not null").groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+                     .where("low <> high").select("id"), "several")
+    if not several.isEmpty():
+        texts = rows.join(several, "id", "left_semi").select("id", "fp").distinct()
+        ties = ties.unionByName(texts.join(named, "fp").select(F.col("id").alias("a"), F.col("node").alias("b")))
+    roots = components(ties, "near").toDF("node", "root")
+    classes = prints.join(roots, "node", "left").select("fp", "n", F.coalesce("root", "node").alias("component_id"))
     found = attach(rows, stored(classes, "classes"), "fp", "n", total)
     return found.select(F.col("id").alias(key), "fp", "text_hash", "component_id")
 
