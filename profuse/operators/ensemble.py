@@ -209,7 +209,7 @@ def late_integration(profiles: dict[str, DataFrame], folds: int = 10, grid0: dic
     """Stack per-profile predictions under a tuned second model; scored rows and its settings."""
     table = stored(stack_table({name: level0(rows, folds, tune0, grid0, rank, passes=passes) for name, rows in profiles.items()}), "level1")
     numbered = stored(number_folds(table, folds, tune1), "level1")
-    best = tune_tubes(numbered.filter(F.col("split") == "train"), grid1, range(1, tune1 + 1), rank=min(rank, 30), passes=passes)
+    best = tune_tubes(numbered.filter(F.col("split") == "train"), grid1, range(1, tune1 + 1), rank=rank, passes=passes)
     source, column = (numbered, "x") if best.mapping is None else (apply_maps(numbered, [best.mapping], "x", "_g"), "_g")
     return best.whole.transform(source, column).select("sample_id", "split", "y", "prediction"), best.params
 

@@ -45,13 +45,6 @@ def candidate_names(names: DataFrame, prefixes: Sequence[tuple[str, str]]) -> Da
     )
 
 
-def profile_prefix(profile: str, rules: Sequence[tuple[str, str]]) -> str:
-    """Feature prefix derived from a profile name by ordered replacements."""
-    for old, new in rules:
-        profile = profile.replace(old, new)
-    return profile
-
-
 def project_features(cells: DataFrame, names: Sequence[str], strict: bool = False) -> DataFrame:
     """Keep a fixed list of features; ``strict`` raises when one is absent."""
     wanted = cells.filter(F.col("feature").isin(list(names)))

@@ -16,12 +16,13 @@ def drop_empty_features(cells: DataFrame) -> DataFrame:
 
 
 def audit_missing(cells: DataFrame) -> DataFrame:
-    """Missing cells per profile, counting absent cells of the sample x feature grid.
+    """Missing cells per profile, counting absent cells of the sample x feature grid; repeated cells count once.
 
     The grid is not built: its size is samples times features.
     """
     samples = cells.select("profile", "sample_id").distinct().groupBy("profile").agg(F.count("*").alias("n_samples"))
-    features = cells.groupBy(*KEYS).agg(F.count("value").alias("n"))
+    single = cells.groupBy(*KEYS, "sample_id").agg(F.max("value").alias("value"))
+    features = single.groupBy(*KEYS).agg(F.count("value").alias("n"))
     per = features.groupBy("profile").agg(F.count("*").alias("n_features"), F.sum("n").alias("n_present"))
     grid = F.col("n_samples") * F.col("n_features")
     return samples.join(per, "profile").select(

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from profuse.operators.rank import key_rank
 
-PIVOT_LIMIT = 96
 MAX_FEATURES = 65_536
 
 
@@ -30,20 +29,19 @@ def to_vectors(cells: DataFrame, names: Sequence[str], fill: float | None = None
                keep: Sequence[str] = ()) -> DataFrame:
     """One dense vector per sample; gaps become ``fill`` or stay NULL.
 
-    Narrow profiles use conditional aggregates (map-side combined, code
-    generated).  Wide ones collect (position, value) pairs, at most one per
-    feature, and scatter them with numpy.
+    Every sample of ``cells`` gets a vector, also one without any value or with
+    none of the named features.  NaN reads as a gap; the largest of repeated
+    cells counts.  (position, value) pairs, at most one per feature, are
+    collected and scattered with numpy.
     """
-    if len(names) <= PIVOT_LIMIT:
-        slots = [F.max(F.when(F.col("feature") == n, F.col("value"))) for n in names]
-        if fill is not None:
-            slots = [F.coalesce(s, F.lit(float(fill))) for s in slots]
-        return cells.groupBy("sample_id", *keep).agg(F.array(*slots).alias("x"))
     dictionary = cells.sparkSession.createDataFrame(
         [(n, i) for i, n in enumerate(names)], "feature string, idx int")
-    single = cells.join(F.broadcast(dictionary), "feature").filter(F.col("value").isNotNull()).groupBy(
+    value = F.when(~F.isnan("value"), F.col("value").cast("double"))
+    single = cells.withColumn("value", value).join(F.broadcast(dictionary), "feature", "left").groupBy(
         "sample_id", *keep, "idx").agg(F.max("value").alias("value"))  # repeated cells never pile up in a list
-    packed = single.groupBy("sample_id", *keep).agg(F.collect_list("idx").alias("idx"), F.collect_list("value").alias("val"))
+    used = F.col("idx").isNotNull() & F.col("value").isNotNull()
+    packed = single.groupBy("sample_id", *keep).agg(
+        F.collect_list(F.when(used, F.col("idx"))).alias("idx"), F.collect_list(F.when(used, F.col("value"))).alias("val"))
     width, gap = len(names), np.nan if fill is None else float(fill)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

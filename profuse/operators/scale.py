@@ -37,11 +37,14 @@ class Scaler:
     hi: float = 1.0
 
     def transform(self, cells: DataFrame) -> DataFrame:
-        """Row-wise, so it also applies to a streaming DataFrame."""
+        """Row-wise, so it also applies to a streaming DataFrame.
+
+        Cells of a feature that was not fitted stay, with value NULL.
+        """
         scaled = (F.col("value") - F.col("centre")) / F.col("width") * F.lit(self.hi - self.lo) + F.lit(self.lo)
         if (self.lo, self.hi) == (0.0, 1.0):
             scaled = (F.col("value") - F.col("centre")) / F.col("width")
-        return cells.join(self.stats, KEYS).withColumn("value", scaled).drop("centre", "width")
+        return cells.join(self.stats, KEYS, "left").withColumn("value", scaled).drop("centre", "width")
 
 
 def _width(w: Column) -> Column:

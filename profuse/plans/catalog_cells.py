@@ -136,17 +136,16 @@ def p5(spark, sf):
     return standin.table(spark, sf, "customer").select("c_custkey", text.add_suffix(F.col("c_name")).alias("label"))
 
 
-# Replacement rules from profile name to feature prefix.
-PREFIX_RULES = [("std_", ""), ("hProfile", "_"), ("Profile", "_")]
+# Feature prefix of each stand-in profile.
+PREFIXES = {"spend": "spend_", "mix": "mix_"}
 
 
 @query("p6_candidate_names", f"""
 SELECT profile, prefix || p_brand AS feature FROM (SELECT DISTINCT p_brand FROM part)
-CROSS JOIN (VALUES ('std_spendProfile', 'spend_'), ('std_methProfile', 'met_')) AS q(profile, prefix)""")
+CROSS JOIN (VALUES ('spend', 'spend_'), ('mix', 'mix_')) AS q(profile, prefix)""")
 def p6(spark, sf):
     names = standin.table(spark, sf, "part").select(F.col("p_brand").alias("name")).distinct()
-    profiles = ["std_spendProfile", "std_methProfile"]
-    return labels.candidate_names(names, [(p, labels.profile_prefix(p, PREFIX_RULES)) for p in profiles])
+    return labels.candidate_names(names, list(PREFIXES.items()))
 
 
 @query("p7_text_to_number", "SELECT event_id, try_cast(CASE WHEN event_type = 'click' THEN 'Beta_Value' ELSE value::varchar END AS double) AS value FROM events")
@@ -270,6 +269,44 @@ def r3(spark, sf):
     return dense.select("sample_id", F.array_join(F.transform("x", lambda v: v.cast("bigint").cast("string")), ",").alias("x"))
 
 
+WIDE_SQL = """
+  SELECT o_custkey AS sample_id, p_brand || '/' || l_shipmode AS feature,
+         sum(l_quantity::bigint) AS value
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL"""
+
+
+def wide(spark, sf):
+    """Quantity per customer and brand by ship mode (175 features); every seventh customer's values are unknown."""
+    joined = standin.table(spark, sf, "lineitem").join(standin.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(
+        standin.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return joined.groupBy(F.col("o_custkey").alias("sample_id"), F.concat_ws("/", "p_brand", "l_shipmode").alias("feature")).agg(
+        F.when(F.col("o_custkey") % 7 != 0, F.sum("l_quantity").cast("double")).alias("value"))
+
+
+@query("r3_wide_vectors", f"""
+WITH wide AS ({WIDE_SQL}), width AS (SELECT count(DISTINCT feature)::bigint AS n FROM wide)
+SELECT sample_id, n AS width, count(*) FILTER (sample_id % 7 <> 0)::bigint AS n_values,
+       coalesce(sum(value) FILTER (sample_id % 7 <> 0), 0)::bigint AS total
+FROM wide, width GROUP BY sample_id, n""")
+def r3_wide(spark, sf):
+    cells = stored(wide(spark, sf), "cells")
+    vectors = reshape.to_vectors(cells, reshape.feature_names(cells))
+    present = F.filter("x", lambda v: v.isNotNull())
+    return vectors.select(
+        "sample_id", F.size("x").cast("bigint").alias("width"), F.size(present).cast("bigint").alias("n_values"),
+        F.aggregate(present, F.lit(0.0), lambda a, v: a + v).cast("bigint").alias("total"))
+
+
+@query("m6_unseen_feature", f"""
+WITH wide AS ({WIDE_SQL}), st AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM wide WHERE sample_id % 7 <> 0 AND feature NOT LIKE '%/AIR' GROUP BY feature)
+SELECT sample_id, feature, CASE WHEN sample_id % 7 <> 0 THEN {r('(value - m) / CASE WHEN s = 0 THEN 1 ELSE s END')} END AS value
+FROM wide LEFT JOIN st USING (feature)""")
+def m6_unseen(spark, sf):
+    cells = stored(wide(spark, sf).withColumn("profile", F.lit("wide")), "cells")
+    scaler = scale.fit_zscore(cells.filter(~F.col("feature").endswith("/AIR")))
+    return scaler.transform(cells).select("sample_id", "feature", rounded("value").alias("value"))
+
+
 @query("r4_named_cells", "SELECT sample_id, feature, value FROM mix", ["mix"])
 def r4(spark, sf):
     cells = standin.mix(spark, sf)
@@ -474,7 +511,7 @@ def m5(spark, sf):
 @query("m6_fit_on_train", ", " + SPLIT_SQL.format(source="share") + f""", st AS (
   SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM share JOIN parts USING (sample_id) WHERE split = 'train' GROUP BY feature)
 SELECT split, sample_id, feature, {r('(value - m) / CASE WHEN s = 0 THEN 1 ELSE s END')} AS value
-FROM share JOIN parts USING (sample_id) JOIN st USING (feature)""", ["share"])
+FROM share JOIN parts USING (sample_id) LEFT JOIN st USING (feature)""", ["share"])
 def m6(spark, sf):
     cells = stored(standin.share(spark, sf), "cells")
     parted = split.apply_split(cells, split.train_test(cells.select("sample_id").distinct(), 7))

@@ -36,7 +36,9 @@ def reduced_late_integration(profiles: dict[str, DataFrame], method: str, space:
         for name, rows in profiles.items():
             train = rows.filter(F.col("split") == "train")
             width = len(rows.select("x").first()[0])
-            n = min(setting["n_components"], width)
+            n = setting["n_components"]
+            if n > width:
+                raise ValueError(f"profile {name} has {width} features, fewer than {n} components")
             if method == "nmf":
                 model = reduce.fit_nmf(train, n, alpha=setting.get("alpha", 0.0), l1_ratio=setting.get("l1_ratio", 0.0),
                                        rounds=options.get("rounds", 10))

@@ -131,14 +131,25 @@ def test_missing_labels(spark):
     assert align.align_to(other, df).filter("value IS NULL").count() == 1
 
 
-def test_wide_and_narrow_vectors_agree(spark, monkeypatch):
-    df = cells(spark, [("a", "f", 1.0), ("a", "h", 3.0), ("b", "g", 2.0), ("b", "g", 1.5)])
-    narrow = {r["sample_id"]: r["x"] for r in reshape.to_vectors(df, ["f", "g", "h"]).collect()}
-    filled = {r["sample_id"]: r["x"] for r in reshape.to_vectors(df, ["f", "g", "h"], 0.0).collect()}
-    monkeypatch.setattr(reshape, "PIVOT_LIMIT", 0)
-    assert {r["sample_id"]: r["x"] for r in reshape.to_vectors(df, ["f", "g", "h"]).collect()} == narrow
-    assert {r["sample_id"]: r["x"] for r in reshape.to_vectors(df, ["f", "g", "h"], 0.0).collect()} == filled
-    assert narrow == {"a": [1.0, None, 3.0], "b": [None, 2.0, None]}
+def test_every_sample_gets_a_vector_at_any_width(spark):
+    df = cells(spark, [("a", "f", 1.0), ("a", "h", 3.0), ("b", "g", 2.0), ("b", "g", 1.5), ("c", "f", None), ("d", "other", 1.0), ("e", "f", float("nan"))])
+    for names in (["f", "g", "h"], ["f", "g", "h"] + [f"z{k}" for k in range(150)]):
+        pad = len(names) - 3
+        got = {r["sample_id"]: r["x"] for r in reshape.to_vectors(df, names).collect()}
+        assert got == {"a": [1.0, None, 3.0] + [None] * pad, "b": [None, 2.0] + [None] * (pad + 1), **{k: [None] * (pad + 3) for k in "cde"}}
+        filled = {r["sample_id"]: r["x"] for r in reshape.to_vectors(df, names, 0.0).collect()}
+        assert filled == {k: [v or 0.0 for v in x] for k, x in got.items()}
+
+
+def test_unfitted_features_stay_as_gaps(spark):
+    fitted = scale.fit_zscore(cells(spark, [("a", "f", 1.0), ("b", "f", 3.0)]))
+    got = {(r["sample_id"], r["feature"]): r["value"] for r in fitted.transform(cells(spark, [("c", "f", 3.0), ("c", "new", 1.0)])).collect()}
+    assert got == {("c", "f"): 1.0, ("c", "new"): None}
+
+
+def test_audit_counts_repeated_cells_once(spark):
+    df = cells(spark, [("a", "f", 1.0), ("a", "f", 2.0), ("b", "g", 1.0)])
+    assert quality.audit_missing(df).first()["n_missing"] == 2
 
 
 def test_strict_and_lenient_numbers(spark):

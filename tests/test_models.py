@@ -296,3 +296,10 @@ def test_map_models_score_like_their_features(spark, points):
         part = moments(kernels.apply_maps(df.filter(F.col("fold") != f), [mapping]), x="g")["all"]
         fit = linear.ridge(part, 1.0)
         np.testing.assert_allclose(got[folds == f], g[folds == f] @ fit.coef + fit.intercept, atol=1e-8)
+
+
+def test_deeper_trees_are_refused(rows):
+    with pytest.raises(ValueError):
+        trees.fit_tree(trees.with_features(rows), 31)
+    with pytest.raises(ValueError):
+        trees.fit_forest(trees.with_features(rows), max_depth=50)
