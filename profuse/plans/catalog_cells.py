@@ -270,16 +270,16 @@ def r3(spark, sf):
 
 
 WIDE_SQL = """
-  SELECT o_custkey AS sample_id, p_brand || '/' || l_shipmode AS feature,
+  SELECT o_custkey AS sample_id, p_brand || '/' || o_orderpriority AS feature,
          sum(l_quantity::bigint) AS value
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL"""
 
 
 def wide(spark, sf):
-    """Quantity per customer and brand by ship mode (175 features); every seventh customer's values are unknown."""
+    """Quantity per customer and brand by order priority (over 96 features); every seventh customer's values are unknown."""
     joined = standin.table(spark, sf, "lineitem").join(standin.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(
         standin.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy(F.col("o_custkey").alias("sample_id"), F.concat_ws("/", "p_brand", "l_shipmode").alias("feature")).agg(
+    return joined.groupBy(F.col("o_custkey").alias("sample_id"), F.concat_ws("/", "p_brand", "o_orderpriority").alias("feature")).agg(
         F.when(F.col("o_custkey") % 7 != 0, F.sum("l_quantity").cast("double")).alias("value"))
 
 
@@ -298,12 +298,12 @@ def r3_wide(spark, sf):
 
 
 @query("m6_unseen_feature", f"""
-WITH wide AS ({WIDE_SQL}), st AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM wide WHERE sample_id % 7 <> 0 AND feature NOT LIKE '%/AIR' GROUP BY feature)
+WITH wide AS ({WIDE_SQL}), st AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM wide WHERE sample_id % 7 <> 0 AND feature NOT LIKE '%/1-URGENT' GROUP BY feature)
 SELECT sample_id, feature, CASE WHEN sample_id % 7 <> 0 THEN {r('(value - m) / CASE WHEN s = 0 THEN 1 ELSE s END')} END AS value
 FROM wide LEFT JOIN st USING (feature)""")
 def m6_unseen(spark, sf):
     cells = stored(wide(spark, sf).withColumn("profile", F.lit("wide")), "cells")
-    scaler = scale.fit_zscore(cells.filter(~F.col("feature").endswith("/AIR")))
+    scaler = scale.fit_zscore(cells.filter(~F.col("feature").endswith("/1-URGENT")))
     return scaler.transform(cells).select("sample_id", "feature", rounded("value").alias("value"))
 
 
