@@ -64,4 +64,33 @@ def op10_url_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_itq, op3_language, op4_line_blocks, op5_pii, op6_hilbert, op7_line_rules, op8_packing, op9_mixing, op10_url_terms)}
-ORACLES: dict[str, str] = {}
+
+
+def _rule_sql() -> str:
+    """The longest fitting rule and its verdict."""
+    cases = []
+    for verdict, rule in sorted(urlfilter.RULES, key=lambda r: -len(r[1])):
+        host, _, prefix = rule.partition("/")
+        cases.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{prefix}') THEN {{'rule': '{rule}', 'verdict': '{verdict}'}}")
+    return "CASE " + " ".join(cases) + " END"
+
+
+def _url_sql() -> str:
+    # Words are the runs of ASCII letters and digits, so whole-word hits are equal list entries.
+    strict = " + ".join(f"len(list_filter(runs, lambda x: x = '{t}'))" for t in urlfilter.STRICT)
+    soft = " + ".join(f"list_contains(runs, '{t}')::int" for t in urlfilter.SOFT)
+    return f"""
+WITH parts AS (
+  SELECT page_id, lower(coalesce(url, '')) AS low, position('://' IN coalesce(url, '')) AS mark, coalesce(url, '') AS url FROM pages),
+rests AS (SELECT page_id, low, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS rest FROM parts),
+hosts AS (SELECT page_id, low, rest, lower(regexp_extract(rest, '^[^/?#]*')) AS host FROM rests),
+paths AS (SELECT page_id, low, host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path,
+                 regexp_extract_all(low, '[a-z0-9]+') AS runs FROM hosts),
+judged AS (SELECT *, {_rule_sql()} AS fits, ({strict})::int AS n_strict, ({soft})::int AS n_soft FROM paths)
+SELECT page_id, host, path, fits.rule AS rule, n_strict, n_soft,
+       coalesce(fits.verdict, CASE WHEN n_strict > 0 OR n_soft >= {urlfilter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged"""
+
+
+#: The others hash, fit, iterate or draw in ways that SQL does not express; tests/llm holds their brute-force versions.
+ORACLES: dict[str, str] = {"op10_url_terms": _url_sql()}
