@@ -96,9 +96,12 @@ def drop_duplicates(df: DataFrame, keys: Sequence[str], position: str, keep: str
     """One row per label: the first or the last by ``position``.
 
     ``min_by``/``max_by`` combine map-side, so a label that holds a large share
-    of the rows is never gathered in one task.
+    of the rows is never gathered in one task.  Rows without a position come
+    after the others; ties go by the hash of the row.
     """
     rest = [c for c in df.columns if c not in keys]
-    pick = F.min_by if keep == "first" else F.max_by
-    chosen = df.groupBy(*keys).agg(pick(F.struct(*rest), F.col(position)).alias("_row"))
+    first = keep == "first"
+    pick, last = (F.min_by, F.col(position).isNull()) if first else (F.max_by, F.col(position).isNotNull())
+    place = F.struct(last.alias("known"), F.col(position).alias("position"), F.xxhash64(*rest).alias("tie"))
+    chosen = df.groupBy(*keys).agg(pick(F.struct(*rest), place).alias("_row"))
     return chosen.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])

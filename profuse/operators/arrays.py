@@ -16,9 +16,11 @@ PARTIAL_ARROW = pa.schema([("grp", pa.string()), ("i", pa.int32()), ("v", pa.lis
 
 
 def matrix_of(array: pa.Array, width: int | None = None) -> np.ndarray:
-    """A list column as a (rows, width) array; NULL entries become NaN."""
+    """A list column as a (rows, width) array; NULL entries become NaN, NULL lists are refused."""
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
+    if array.null_count:
+        raise ValueError("a vector column holds NULL; drop or fill those rows first")
     flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if len(array) == 0:
         return np.zeros((0, width or 0))

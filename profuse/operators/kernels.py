@@ -88,20 +88,24 @@ def incomplete_cholesky(df: DataFrame, kernel: Kernel, rank: int = 15, tol: floa
     """Greedy pivots: each pass takes the row with the largest residual diagonal.
 
     A row's features follow from the pivots, so nothing is kept between passes.
-    The aggregate also returns the trace of what is still missing.
+    The aggregate also returns the trace of what is still missing.  A kernel
+    whose diagonal is zero (or an empty table) gives a factor of rank 0.
     """
-    width = len(df.select(x).first()[0])
+    row = df.select(x).first()
+    width = len(row[0]) if row else 0
     pivots, traces = np.zeros((0, width)), []
     current = None
     for _ in range(rank + 1):
         left = kernel.diagonal if current is None else current.residual
         top = df.select(key, x, vector_to_number(left, x).alias("left")).agg(
             F.max(F.struct("left", key, x)).alias("top"), F.sum("left").alias("trace")).first()
-        traces.append(float(top["trace"]))
-        if len(pivots) == rank or top["top"]["left"] <= tol:
+        traces.append(float(top["trace"] or 0.0))
+        if len(pivots) == rank or top["top"] is None or top["top"]["left"] <= tol:
             break
         pivots = np.vstack([pivots, np.array(top["top"][x], dtype=np.float64)])
         current = cholesky_map(kernel, pivots)
+    if current is None:
+        current = LowRankMap(kernel, pivots, np.zeros((0, 0)))
     current.residuals = traces
     return current
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from profuse.operators.arrays import matrix_of, mixed_uniform, numbers_of, row_hash, sum_partials, vector_to_number
+from profuse.operators.arrays import matrix_of, mixed_hash, mixed_uniform, numbers_of, row_hash, sum_partials, vector_to_number
 
 MAX_WEIGHTS = 1 << 25
 
@@ -316,8 +316,9 @@ def _gradients(batches, task, epoch: int, part: int, parts: int) -> dict[str, np
             rows = base[use]
 
             def noise(layer, width, rows=rows, seed=seed):
-                start = ((seed * 1_000 + epoch * parts + part) * 64 + layer) * 4_096
-                return np.column_stack([mixed_uniform(rows, start + u) for u in range(width)])
+                # Hashed one after the other, so no two (seed, step, layer) share a stream at any depth or width.
+                own = mixed_hash(mixed_hash(mixed_hash(rows, seed), epoch * parts + part), layer)
+                return np.column_stack([mixed_uniform(own, u) for u in range(width)])
 
             sse, grads = net.gradient(xs[use], ys[use], noise)
             out[f"{i}.n"] = out.get(f"{i}.n", 0.0) + np.array([[use.sum(), sse]])

@@ -14,7 +14,6 @@ from profuse.operators.arrays import dot_column, matrix_of, numbers_of, row_hash
 from profuse.operators.gram import member_moments, moments
 from profuse.operators.linear import LinearModel, ols
 from profuse.operators.rank import hash_rank
-from profuse.operators.small import SMALL_ROWS
 from profuse.session import stored
 
 
@@ -64,7 +63,7 @@ def median_deviation(df: DataFrame, column: str = "y") -> float:
 def hashed_subsets(df: DataFrame, subsets: int, size: int, seed: int, key: str = "sample_id") -> DataFrame:
     """``subsets`` draws of ``size`` distinct rows each, as (subset, row columns).
 
-    The draw list is small (subsets x size); rows are found by their hash rank.
+    The draw list has subsets x size ranks; rows are found by their hash rank.
     """
     ranked = hash_rank(df, key, seed)
     n = df.count()
@@ -73,14 +72,9 @@ def hashed_subsets(df: DataFrame, subsets: int, size: int, seed: int, key: str =
     rng = np.random.default_rng(seed)
     pairs = []
     for s in range(subsets):
-        if n <= 50 * size:
-            ranks = rng.permutation(n)[:size]
-        else:
-            ranks = np.unique(rng.integers(0, n, size=4 * size))
-            ranks = rng.permutation(ranks)[:size]
-        pairs += [(s, int(k) + 1) for k in ranks]
+        pairs += [(s, int(k) + 1) for k in rng.choice(n, size, replace=False)]
     wanted = df.sparkSession.createDataFrame(pd.DataFrame(pairs, columns=["subset", "rank"]), "subset int, rank bigint")
-    return ranked.join(F.broadcast(wanted) if len(pairs) <= SMALL_ROWS else wanted, "rank")
+    return ranked.join(wanted, "rank")
 
 
 def _subset_fits(subsets: DataFrame, x: str, y: str) -> np.ndarray:

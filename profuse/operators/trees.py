@@ -75,12 +75,12 @@ def fit_boosted(df: DataFrame, rounds: int = 50, max_depth: int = 3, rate: float
     for i in range(rounds):
         tree = fit_tree(work, max_depth, y=y, weight="_w", seed=i).setPredictionCol("_p")
         scored = tree.transform(work).withColumn("_e", F.abs(F.col(y) - F.col("_p")))
-        top, total = scored.agg(F.max("_e"), F.sum("_w")).first()
+        top, total, missed = scored.agg(F.max("_e"), F.sum("_w"), F.sum(F.col("_w") * F.col("_e"))).first()
         if top <= 0:
             trees.append(tree)
             logs.append(1.0 if not logs else max(logs))
             break
-        loss = scored.agg(F.sum(F.col("_w") * F.col("_e") / F.lit(top))).first()[0] / total
+        loss = missed / top / total
         if loss >= 0.5:
             if not trees:
                 trees.append(tree)

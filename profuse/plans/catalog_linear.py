@@ -187,10 +187,17 @@ def t7(spark, sf):
         "model", "params", rounded("cv_r2").alias("cv_r2"), rounded("test_mse").alias("test_mse")).orderBy("test_mse", "model")
 
 
-@query("t1_parameter_grid", "SELECT * FROM (VALUES (0.1::double), (1::double), (10::double)) AS a(C) CROSS JOIN (VALUES ('linear'), ('poly'), ('rbf'), ('sigmoid')) AS k(kernel) CROSS JOIN (VALUES (2), (4), (6), (8)) AS d(degree) CROSS JOIN (SELECT DISTINCT p_size AS size FROM part WHERE p_size <= 3) AS s")
+@query("t1_parameter_grid", f"""WITH {PAIR_SQL}, s AS (SELECT covar_pop(y, x) AS c, var_pop(x) AS v, var_pop(y) AS vy FROM pair),
+g AS (SELECT * FROM (VALUES (0.001::double), (0.05::double), (1::double), (10::double)) AS a(alpha) CROSS JOIN (VALUES (0::double), (0.1::double), (0.5::double), (1::double)) AS l(l1_ratio)),
+w AS (SELECT *, sign(c) * greatest(abs(c) - alpha * l1_ratio, 0) / (v + alpha * (1 - l1_ratio)) AS slope FROM g CROSS JOIN s)
+SELECT alpha, l1_ratio, {r('vy - 2 * slope * c + slope * slope * v')} AS mse FROM w""")
 def t1(spark, sf):
-    sizes = [row[0] for row in standin.table(spark, sf, "part").filter("p_size <= 3").select("p_size").distinct().collect()]
-    return tuning.grid_rows(spark, {"C": [0.1, 1.0, 10.0], "kernel": ["linear", "poly", "rbf", "sigmoid"], "degree": [2, 4, 6, 8], "size": sizes})
+    """Every elastic-net setting with its training error; all settings are fitted from one scan."""
+    m = gram.moments(pair(spark, sf))["all"]
+    space = {"alpha": [0.001, 0.05, 1.0, 10.0], "l1_ratio": [0.0, 0.1, 0.5, 1.0]}
+    fits = [(*(p[k] for k in sorted(p)), linear.elastic_net(m, **p)) for p in tuning.parameter_grid(space)]
+    errors = model_rows(spark, [(a, l1, float(m.mse(f.coef, f.intercept))) for a, l1, f in fits], "alpha double, l1_ratio double, mse double")
+    return tuning.grid_rows(spark, space).join(errors, ["alpha", "l1_ratio"]).select("alpha", "l1_ratio", rounded("mse").alias("mse"))
 
 
 # ---- scores ------------------------------------------------------------------

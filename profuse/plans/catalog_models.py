@@ -57,8 +57,8 @@ def l10(spark, sf):
 
 @query("l11_theil_sen")
 def l11(spark, sf):
-    rows, _ = design(spark, sf, ("share",))
-    return mse_of(robust.theil_sen(train_of(rows), subsets=300).transform(rows), 4)
+    rows, _ = design(spark, sf)
+    return mse_of(robust.theil_sen(train_of(rows)).transform(rows), 4)
 
 
 @query("l12_huber")
@@ -260,8 +260,12 @@ def e5(spark, sf):
 
 @query("e6_level0_stacking")
 def e6(spark, sf):
-    rows = profile_rows(spark, sf, ("share",))["share"]
-    return ensemble.level0(rows, 5, 3, SMALL0, rank=20, passes=6).select("sample_id", "split", rounded("prediction", 4).alias("prediction"))
+    out = None
+    for name, rows in profile_rows(spark, sf).items():
+        part = ensemble.level0(rows, 5, 3, SMALL0, rank=20, passes=6).select(
+            F.lit(name).alias("profile"), "sample_id", "split", rounded("prediction", 4).alias("prediction"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("e7_late_integration")
@@ -272,14 +276,14 @@ def e7(spark, sf):
 
 @query("e8_late_integration_nmf")
 def e8(spark, sf):
-    rows = profile_rows(spark, sf, ("mix", "share"))
+    rows = profile_rows(spark, sf)
     found = reduced_late_integration(rows, "nmf", {"n_components": [2], "l1_ratio": [0.01]}, **{**SMALL, "grid0": {"kernel": ["linear"], "C": [1]}}, rounds=5)
     return model_rows(spark, [(tuning.params_text(p), m) for p, m in found], "params string, mse double").select("params", rounded("mse", 5).alias("mse"))
 
 
 @query("e9_late_integration_pca")
 def e9(spark, sf):
-    rows = profile_rows(spark, sf, ("mix", "share"))
+    rows = profile_rows(spark, sf)
     found = reduced_late_integration(rows, "pca", {"n_components": [2, 4]}, **{**SMALL, "grid0": {"kernel": ["linear"], "C": [1]}})
     return model_rows(spark, [(tuning.params_text(p), m) for p, m in found], "params string, mse double").select("params", rounded("mse", 5).alias("mse"))
 

@@ -63,7 +63,7 @@ def _trained(name: str, layout, profiles=EARLY, epochs: int = 6, rate: float = 0
 _trained("l17_feed_forward", lambda: network.perceptron("all", (20, 10), "tanh"))
 _trained("n2_multi_input", lambda: network.one_stage(EARLY, units=8, head=8, depth=2, head_depth=2))
 _trained("n3_two_stage", lambda: network.two_stage(("spend", "mix"), "share", units=8, head=8, depth=2, head_depth=2, late_depth=2))
-_trained("n4_all_profiles", lambda: network.all_profiles((*EARLY, "activity"), 6, 0.2, "tanh", experts=3, depth=2), (*EARLY, "activity"))
+_trained("n4_all_profiles", lambda: network.all_profiles(EARLY, 6, 0.2, "tanh", experts=3, depth=2))
 _trained("n5_gate_expert", lambda: network.gate_expert("mix", "spend", 10, 1, depth=2, activation="relu"))
 _trained("n5_two_gates", lambda: network.two_gates("mix", "share", "spend", 5, 2, 6))
 

@@ -100,8 +100,8 @@ def w2(spark, sf):
 @query("w2_preparation_low_rank")
 def w2_low_rank(spark, sf):
     """The same preparation with the low-rank imputer in place of feature means."""
-    profiles = {name: standin.BUILDERS[name](spark, sf) for name in ("spend", "mix")}
-    out = prepare.prepare(profiles, ["spend"], names_frame(spark, NAME_LIST), ["spend", "mix"], {}, method="low_rank")
+    profiles = {name: standin.BUILDERS[name](spark, sf) for name in standin.PROFILES}
+    out = prepare.prepare(profiles, ["spend"], names_frame(spark, NAME_LIST), ["spend", "mix", "share"], {"activity": 3}, method="low_rank")
     return cells_out(out)
 
 

@@ -91,7 +91,7 @@ def demo_set(cells: DataFrame, names: Sequence[str], threshold: float, seed: int
 
 # ---- design matrices ---------------------------------------------------------
 
-EARLY = ("spend", "mix", "share")
+EARLY = standin.PROFILES
 TARGET = "response:y"
 
 
