@@ -125,6 +125,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that are kept, without their failing lines; all columns stay."""
-    rows = docs.withColumn("_pf_v", verdict(text)).where(F.col("_pf_v")["kept"])
+    """The documents that are kept, without their failing lines; all columns stay.
+
+    The verdict is filtered inside an array and exploded: a filter on a column
+    would be pushed below the projection and the lines judged twice.
+    """
+    rows = docs.select("*", F.explode(F.filter(F.array(verdict(text)), lambda v: v["kept"])).alias("_pf_v"))
     return rows.withColumn(text, F.coalesce(F.col("_pf_v")["clean"], F.col(text))).drop("_pf_v")
