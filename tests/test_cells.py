@@ -2,11 +2,12 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from profuse.functions import text
-from profuse.operators import align, labels, quality, rank, reshape, scale, small, split
+from profuse.operators import align, arrays, labels, quality, rank, reshape, scale, small, split
 from profuse.session import scratch_path, shared_dir
 from profuse.sources import delimited
 
@@ -177,3 +178,14 @@ def test_feature_row_file(spark):
 
 def test_shared_folder_is_stable(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_rows_without_a_position_come_after_the_others(spark):
+    rows = spark.createDataFrame([("a", None, 1.0), ("a", 2, 2.0), ("a", 3, 3.0), ("b", None, 4.0)], "k string, at int, v double")
+    for keep, want in (("first", {"a": 2.0, "b": 4.0}), ("last", {"a": 3.0, "b": 4.0})):
+        assert {r["k"]: r["v"] for r in align.drop_duplicates(rows, ["k"], "at", keep).collect()} == want
+
+
+def test_null_vectors_are_refused():
+    with pytest.raises(ValueError):
+        arrays.matrix_of(pa.array([[1.0], None], pa.list_(pa.float64())))
