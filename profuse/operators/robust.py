@@ -10,7 +10,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
-from profuse.operators.arrays import dot_column, matrix_of, numbers_of, row_hash, sum_partials
+from profuse.functions.hashing import seeded_hash
+from profuse.operators.arrays import dot_column, matrix_of, numbers_of, sum_partials
 from profuse.operators.gram import member_moments, moments
 from profuse.operators.linear import LinearModel, ols
 from profuse.operators.rank import hash_rank
@@ -165,15 +166,15 @@ def huber(df: DataFrame, epsilon: float = 1.35, alpha: float = 1e-4, x: str = "x
 # ---- passive-aggressive ------------------------------------------------------
 
 def passive_aggressive(df: DataFrame, c: float = 1.0, epsilon: float = 0.1, epochs: int = 5, shard_rows: int = 10_000,
-                       seed=0, x: str = "x", y: str = "y") -> LinearModel:
+                       seed=0, x: str = "x", y: str = "y", key: str = "sample_id") -> LinearModel:
     """Online updates inside bounded shards, weights averaged after every epoch.
 
-    Shards come from a row hash, so the result is the same for any partitioning
+    Shards and their order come from a hash of the key, so the result is the same for any partitioning
     and no shard grows with the table.
     """
     n = df.count()
     shards = max(1, math.ceil(n / shard_rows))
-    rows = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), row_hash(seed).alias("h")).withColumn(
+    rows = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), seeded_hash(seed, key).alias("h")).withColumn(
         "shard", F.pmod(F.col("h"), F.lit(shards)))
     width = len(df.select(x).first()[0])
     beta = np.zeros(width + 1)
