@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from profuse.functions.hashing import seeded_hash
 from profuse.functions.kernels import Kernel
-from profuse.operators.arrays import list_of, matrix_of, sum_partials, vector_to_number, vector_to_vector
+from profuse.operators.arrays import list_of, matrix_of, numbers_of, sum_partials, vector_to_number, vector_to_vector
 from profuse.operators.gram import Moments, check_width, moments
 from profuse.operators.linear import LinearModel, ridge
 
@@ -135,6 +135,61 @@ def kernel_ridge(df: DataFrame, maps: Sequence[LowRankMap], alpha: float = 1.0,
     return KernelRidge(list(maps), ridge(m, alpha), mu)
 
 
+def map_moments(df: DataFrame, maps: Sequence[LowRankMap], by: str = "fold", x: str = "x", y: str = "y") -> dict[tuple[int, str], Moments]:
+    """Moments of each map's features per value of ``by``, all from one scan; keys are (map number, value)."""
+    check_width(max(m.rank for m in maps), len(maps))
+    cols = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.col(by).cast("string").alias("g"))
+
+    def partial(batches):
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            xs, ys, groups = matrix_of(batch.column("x")), numbers_of(batch.column("y")), batch.column("g").to_numpy(zero_copy_only=False).astype(str)
+            for i, m in enumerate(maps):
+                z = np.column_stack([np.ones(len(xs)), m.features(xs), ys])
+                for g in np.unique(groups):
+                    rows = z[groups == g]
+                    total[f"{i}|{g}"] = total.get(f"{i}|{g}", 0.0) + rows.T @ rows
+        return total
+
+    found = sum_partials(cols, partial)
+    return {(int(i), g): Moments(z) for name, z in found.items() for i, g in [name.split("|", 1)]}
+
+
+def fold_r2(df: DataFrame, maps: Sequence[LowRankMap], weights: dict[str, list[np.ndarray]], fold: str = "fold", x: str = "x", y: str = "y") -> list[np.ndarray]:
+    """Mean R2 over folds of every map's linear models, from their predictions, in one scan.
+
+    ``weights[f][i]`` holds a column (intercept, coefficients) per model of map i
+    for the rows of fold f.  Sums of Grams would lose the error of badly scaled kernels.
+    """
+    cols = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.col(fold).cast("string").alias("g"))
+
+    def partial(batches):
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            xs, ys, groups = matrix_of(batch.column("x")), numbers_of(batch.column("y")), batch.column("g").to_numpy(zero_copy_only=False).astype(str)
+            for f, models in weights.items():
+                mine = groups == f
+                if not mine.any():
+                    continue
+                part = ys[mine]
+                gaps = [((part[:, None] - b[0] - m.features(xs[mine]) @ b[1:]) ** 2).sum(axis=0) for m, b in zip(maps, models)]
+                sums = np.concatenate([[len(part), part.sum(), (part * part).sum()], *gaps])[None]
+                total[f] = total.get(f, 0.0) + sums
+        return total
+
+    scores = []
+    for sums in sum_partials(cols, partial).values():
+        n, total, squares = sums[0, :3]
+        scores.append(1.0 - sums[0, 3:] / (squares - total * total / n))
+    edges = np.cumsum([0, *[b.shape[1] for b in next(iter(weights.values()))]])
+    mean = np.mean(scores, axis=0)
+    return [mean[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+
 # ---- kernel weights ----------------------------------------------------------
 
 def block_moments(df: DataFrame, maps: Sequence[LowRankMap], x: str = "x") -> tuple[Moments, list[slice]]:
@@ -225,7 +280,7 @@ def _candidates(df: DataFrame, fits: list[LowRankMap | None], kernels: Sequence[
     return [np.array(f) if f else np.zeros((0, 0)) for f in found]
 
 
-def least_angle_kernels(df: DataFrame, kernels: Sequence[Kernel], rank: int = 15, lam: float = 0.0, ahead: int = 10,
+def forward_kernels(df: DataFrame, kernels: Sequence[Kernel], rank: int = 15, lam: float = 0.0, ahead: int = 10,
                         key: str = "sample_id", x: str = "x") -> KernelPath:
     """Choose ``rank`` kernel columns by their correlation with the residual.
 

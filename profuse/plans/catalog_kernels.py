@@ -198,7 +198,7 @@ def q9(spark, sf):
         places = [i for i, n in enumerate(names) if n.startswith(profile + ":")]
         specs += [(profile, Kernel(kind, params, places[0], places[-1] + 1)) for kind, params in SEVEN.items()]
     train = rows.filter(F.col("split") == "train")
-    path = kernels.least_angle_kernels(train, [k for _, k in specs], rank=6, lam=0.923, ahead=4)
+    path = kernels.forward_kernels(train, [k for _, k in specs], rank=6, lam=0.923, ahead=4)
     out = [(i, specs[q][0], str(specs[q][1].kind), gain) for i, (q, gain) in enumerate(path.chosen)]
     return spark.createDataFrame(out, "step int, profile string, kernel string, gain double").select(
         "step", "profile", "kernel", rounded("gain").alias("gain"))

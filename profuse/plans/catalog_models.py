@@ -131,18 +131,19 @@ def d3(spark, sf):
 @query("d1_low_rank_imputation")
 def d1(spark, sf):
     """Gaps of a scaled profile filled from a rank-2 fit."""
-    cells = scale.minmax(scale.log_scale(standin.spend(spark, sf)))
+    cells = stored(scale.minmax(scale.log_scale(standin.spend(spark, sf))), "scaled")
     names = reshape.feature_names(cells)
-    fit = impute.soft_impute(reshape.to_vectors(cells, names), rank=2, max_steps=12)
+    fit = impute.soft_impute(reshape.to_vectors(cells, names), rank=2)
     filled = reshape.to_cells(fit.transform("fill"), names)
     return filled.select("sample_id", "feature", rounded("value", 5).alias("value"))
 
 
 @query("d5_nonnegative_factors")
 def d5(spark, sf):
+    """Factors of every sample, from components fitted on the training rows."""
     rows, _ = design(spark, sf)
-    model = reduce.fit_nmf(train_of(rows), 4, rounds=10)
-    return model_rows(spark, [(i, v) for i, v in enumerate(model.losses)], "round int, loss double").select("round", rounded("loss", 4).alias("loss"))
+    model = reduce.fit_nmf(train_of(rows), 4)
+    return model.transform(rows).select("sample_id", "split", *[rounded(F.col("x")[i], 4).alias(f"w{i + 1}") for i in range(4)])
 
 
 # ---- repeated scores and fold means ------------------------------------------
@@ -304,8 +305,8 @@ def _board(name: str, spaces: dict):
 
 _board("t7_robust_leaderboard", {"passive_aggressive": {"c": [0.1]}, "ransac": {"min_samples": [0.85]}, "huber": {}})
 _board("t7_nonlinear_leaderboard", {
-    "svr": {"kernel": ["linear"], "C": [1.0], "passes": [5]}, "knn": {"k": [10]}, "gaussian_process": {},
-    "tree": {"max_depth": [2, 4]}, "kernel_ridge": {"kernel": ["rbf"]}, "nn": {"hidden": [(10, 3)], "activation": ["tanh"], "epochs": [5]}})
+    "svr": {"kernel": ["linear"], "C": [1.0], "passes": [5]}, "knn": early.NONLINEAR["knn"], "gaussian_process": {},
+    "tree": {"max_depth": [2, 4]}, "kernel_ridge": early.NONLINEAR["kernel_ridge"], "nn": {"hidden": [(10, 3)], "activation": ["tanh"], "epochs": [5]}})
 _board("t7_ensemble_leaderboard", {
     "random_forest": {"n_estimators": [10], "max_depth": [4]}, "bagging": {"n_estimators": [10], "bootstrap_features": [True, False]},
     "adaboost": {"rounds": [2]}})

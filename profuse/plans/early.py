@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from profuse.functions import scores
 from profuse.functions.kernels import gamma_kernel
-from profuse.operators import ensemble, kernels, linear, network, robust, svm, trees
+from profuse.operators import ensemble, gram, kernels, linear, network, robust, svm, trees
 from profuse.operators.neighbors import neighbour_regression
 from profuse.operators.tuning import parameter_grid, params_text
 
@@ -110,11 +110,65 @@ def search(rows: DataFrame, fit: Callable, space: dict, folds: int) -> tuple[obj
     return fit(rows.filter(F.col("fold") > 0), **best), best, top
 
 
+def search_kernel_ridge(rows: DataFrame, space: dict, folds: int, rank: int = 30) -> tuple[Mapped, dict, float]:
+    """Kernel ridge: two scans whatever the number of settings, one for Grams by fold and one for fold errors.
+
+    Settings that a kernel ignores are not repeated; all kernels share landmarks of the training rows.
+    """
+    train = rows.filter(F.col("fold") > 0)
+    settings = ensemble.kernel_settings(space)
+    alphas = [float(a) for a in space.get("alpha", [1.0])]
+    marks = kernels.landmark_rows(train, rank, 0)
+    maps = [kernels.nystrom(train, gamma_kernel(kind, gamma, degree, coef0), rank, landmarks=marks) for kind, gamma, degree, coef0 in settings]
+    parts = kernels.map_moments(train, maps)
+    whole = [gram.total_of({g: m for (j, g), m in parts.items() if j == i}) for i in range(len(maps))]
+
+    def models(i, f):
+        fits = [linear.ridge(whole[i] - parts[i, f], a) for a in alphas]
+        return np.column_stack([np.r_[fit.intercept, fit.coef] for fit in fits])
+
+    found = kernels.fold_r2(train, maps, {str(f): [models(i, str(f)) for i in range(len(maps))] for f in range(1, folds + 1)})
+    scores = np.nan_to_num(np.array(found), nan=-np.inf)
+    i, a = np.unravel_index(int(scores.argmax()), scores.shape)
+    kind, gamma, degree, coef0 = settings[i]
+    params = {"kernel": kind, "gamma": gamma, "degree": degree, "coef0": coef0, "alpha": alphas[a]}
+    return Mapped(maps[i], linear.ridge(whole[i], alphas[a])), params, float(scores[i, a])
+
+
+def search_neighbours(rows: DataFrame, space: dict, folds: int) -> tuple[Neighbours, dict, float]:
+    """Neighbours: one search per metric and fold gives every count and weighting."""
+    ks, kinds = tuple(space.get("k", (5,))), tuple(space.get("weights", ("uniform",)))
+    best, top = None, -np.inf
+    for p in space.get("p", [2]):
+        scored = None
+        for f in range(1, folds + 1):
+            held = rows.filter(F.col("fold") == f)
+            found = neighbour_regression(rows.filter((F.col("fold") > 0) & (F.col("fold") != f)), held.select("sample_id", "x"), ks, kinds, p)
+            part = found.join(held.select("sample_id", "fold", "y"), "sample_id").groupBy("fold", "k", "weights").agg(
+                scores.r2(F.col("y"), F.col("prediction")).alias("r2"))
+            scored = part if scored is None else scored.unionByName(part)
+        for k, kind, score in sorted(tuple(r) for r in scored.groupBy("k", "weights").agg(F.avg("r2")).collect()):
+            if score > top:
+                best, top = {"k": k, "weights": kind, "p": p}, score
+    return Neighbours(rows.filter(F.col("fold") > 0), **best), best, float(top)
+
+
+def search_tubes(rows: DataFrame, space: dict, folds: int) -> tuple[object, dict, float]:
+    """Support vectors: every C and fold of a kernel in the same passes."""
+    found = ensemble.tune_tubes(rows.filter(F.col("fold") > 0), space, range(1, folds + 1), "fold", passes=space.get("passes", [15])[0])
+    return found.whole if found.mapping is None else Mapped(found.mapping, found.whole), found.params, found.score
+
+
+# Families whose settings share scans; the others are searched setting by setting.
+SEARCHES: dict[str, Callable] = {"kernel_ridge": search_kernel_ridge, "knn": search_neighbours, "svr": search_tubes}
+
+
 def leaderboard(rows: DataFrame, spaces: dict[str, dict], folds: int) -> list[tuple]:
     """(model, params, cv_r2, test_mse) of every named regressor, best test error first."""
     out = []
     for name, space in spaces.items():
-        model, params, score = search(rows, FITTERS[name], space, folds)
+        shared = SEARCHES.get(name)
+        model, params, score = shared(rows, space, folds) if shared else search(rows, FITTERS[name], space, folds)
         test = model.transform(rows.filter(F.col("fold") == 0))
         out.append((name, params_text(params), score, float(test.agg(scores.mse(F.col("y"), F.col("prediction"))).first()[0])))
     return sorted(out, key=lambda row: row[3])

@@ -163,7 +163,7 @@ def test_greedy_kernel_path(spark, points):
     x, y = points
     df = frame(spark, x, y)
     ks = [Kernel("rbf", {"sigma": 1.0}), Kernel("linear"), Kernel("poly", {"degree": 2})]
-    path = kernels.least_angle_kernels(df, ks, rank=5, lam=0.01, ahead=len(x))
+    path = kernels.forward_kernels(df, ks, rank=5, lam=0.01, ahead=len(x))
     gains = []
     for k in ks:
         full = k(x, x)
@@ -173,7 +173,7 @@ def test_greedy_kernel_path(spark, points):
                 g = g - g.mean()
                 gains.append((g @ (y - y.mean())) ** 2 / (g @ g + 0.01))
     assert abs(path.chosen[0][1] - max(gains)) < 1e-4 * max(gains)
-    short = kernels.least_angle_kernels(df, ks, rank=1, lam=0.01, ahead=len(x))
+    short = kernels.forward_kernels(df, ks, rank=1, lam=0.01, ahead=len(x))
     mse = lambda p: float(((collected(p.model.transform(df), "prediction") - y) ** 2).mean())
     assert mse(path) < mse(short) < y.var()
 
