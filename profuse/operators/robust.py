@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
@@ -64,18 +65,17 @@ def median_deviation(df: DataFrame, column: str = "y") -> float:
 def hashed_subsets(df: DataFrame, subsets: int, size: int, seed: int, key: str = "sample_id") -> DataFrame:
     """``subsets`` draws of ``size`` distinct rows each, as (subset, row columns).
 
-    The draw list has subsets x size ranks; rows are found by their hash rank.
+    The draw list has subsets x size ranks, made on the driver.  Only keys are
+    ranked; the drawn keys, as bounded as the list, then find their rows.
     """
-    ranked = hash_rank(df, key, seed)
     n = df.count()
     if size > n:
         raise ValueError(f"subsets of {size} rows from {n}")
     rng = np.random.default_rng(seed)
-    pairs = []
-    for s in range(subsets):
-        pairs += [(s, int(k) + 1) for k in rng.choice(n, size, replace=False)]
-    wanted = df.sparkSession.createDataFrame(pd.DataFrame(pairs, columns=["subset", "rank"]), "subset int, rank bigint")
-    return ranked.join(wanted, "rank")
+    ranks = np.concatenate([rng.choice(n, size, replace=False) for _ in range(subsets)]) + 1
+    wanted = df.sparkSession.createDataFrame(pa.table({"subset": np.repeat(np.arange(subsets, dtype=np.int32), size), "rank": ranks.astype(np.int64)}))
+    drawn = hash_rank(df.select(key), key, seed).join(F.broadcast(wanted), "rank").select("subset", "rank", key)
+    return df.join(F.broadcast(drawn), key)
 
 
 def _subset_fits(subsets: DataFrame, x: str, y: str) -> np.ndarray:

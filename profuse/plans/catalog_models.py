@@ -227,7 +227,7 @@ def four_bases(train, folds=(), passes: int = 8):
 def e4(spark, sf):
     rows, _ = design(spark, sf)
     train = train_of(rows)
-    bases = four_bases(train, folds=range(1, 6))
+    bases = four_bases(train)
     scored = rows
     for name, models in bases.items():
         whole = ensemble.FoldModels(models.mapping, {}, models.whole)

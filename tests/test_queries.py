@@ -30,7 +30,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, con, name):
     status, _, _, detail = compare(spark, con, SF, name, spark_entry.queries()[name], ORACLES[name])
-    assert status in ("ok", "EMPTY"), detail
+    assert status == "ok", detail or status
 
 
 @pytest.mark.parametrize("name", ["t7_linear_leaderboard", "q10_degree_sweep", "d3_isolation_outliers", "e6_level0_stacking", "n7_epoch_sweep"])
