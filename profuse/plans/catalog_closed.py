@@ -6,9 +6,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from profuse.functions import scores
 from profuse.operators import gram, impute, linear, reduce, robust, trees, tuning
 from profuse.operators.rank import block_of, hash_rank
 from profuse.plans.catalog_linear import PAIR_SQL, model_rows, pair
+from profuse.plans.early import search_kernel_ridge
 from profuse.plans.registry import md5_hash, query, r, rounded
 from profuse.sources import standin
 
@@ -179,3 +181,18 @@ def t7_two(spark, sf):
     found = [(model, float(json.loads(params)["alpha"]), cv, mse) for model, params, cv, mse in board]
     return model_rows(spark, found, "model string, alpha double, cv_r2 double, test_mse double").select(
         "model", "alpha", rounded("cv_r2").alias("cv_r2"), rounded("test_mse").alias("test_mse"))
+
+
+@query("l16_linear_kernel_search", f"""WITH {PRICED_SQL}, f AS (SELECT x2 AS x, y, ntile(5) OVER (ORDER BY {md5_hash(4, 'k')}, k) AS fold FROM priced),
+t AS (SELECT h.fold, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy FROM f JOIN range(0, 6) AS h(fold) ON f.fold <> h.fold GROUP BY h.fold),
+q AS (SELECT alpha, t.fold, 1 - sum((y - my - (x - mx) * sxy / (sxx + alpha)) ** 2) / (var_pop(y) * count(*)) AS r2
+  FROM f JOIN t USING (fold) CROSS JOIN (VALUES (0.1::double), (10::double), (1000::double)) AS g(alpha) GROUP BY alpha, t.fold),
+z AS (SELECT alpha, avg(r2) AS cv_r2 FROM q GROUP BY alpha QUALIFY row_number() OVER (ORDER BY avg(r2) DESC) = 1)
+SELECT alpha, {r('cv_r2')} AS cv_r2, {r('(SELECT avg((y - my - (x - mx) * sxy / (sxx + alpha)) ** 2) FROM f CROSS JOIN t WHERE t.fold = 0)')} AS mse FROM z""")
+def l16_search(spark, sf):
+    """Kernel ridge with the linear kernel of one column, tuned on five folds and refitted: ridge in another form."""
+    rows = hash_rank(priced(spark, sf, "x2"), "k", 4).withColumn("fold", block_of(F.col("rank"), F.col("n"), 5)).withColumnRenamed("k", "sample_id")
+    model, params, score = search_kernel_ridge(rows, {"kernel": ["linear"], "alpha": [0.1, 10.0, 1000.0]}, 5, rank=5)
+    error = model.transform(rows).agg(scores.mse(F.col("y"), F.col("prediction")).alias("mse")).first()[0]
+    return model_rows(spark, [(params["alpha"], score, error)], "alpha double, cv_r2 double, mse double").select(
+        "alpha", rounded("cv_r2").alias("cv_r2"), rounded("mse").alias("mse"))
