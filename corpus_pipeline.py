@@ -14,6 +14,7 @@ from profuse.session import scratch_path, ship
 
 #: The stages draw and pack by hash and by the order of rows, which SQL does not express; see tests/llm.
 ORACLE_SQL = None
+SIMILARITY = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return simhash.keep_one(docs)
+    """One document of each group stays; groups link equal fingerprints, those within 3 bits and 5-word sets of similarity 0.8."""
+    return simhash.keep_one(docs, similarity=SIMILARITY)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from profuse.llm import pii
+from profuse.llm import components, pii
 
 from . import test_linerules, test_packing, test_simhash
 from .conftest import SF
@@ -57,3 +58,18 @@ def test_run_and_odd_rows(spark, odd, empty, stages):
         for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
             docs.count()
+
+
+def test_similar_texts_are_duplicates(stages):
+    """Groups link prints within 3 bits and texts whose 5-word sets have a similarity of 0.8 or more."""
+    before, after = (x.collect() for x in stages["near_duplicates"])
+    sets = [test_simhash.brute_set(r["text"]) for r in before]
+    prints = np.array([test_simhash.brute_print(r["text"]) for r in before], dtype=np.uint64)
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3
+    near |= np.array([[bool(a) and len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    keys, parent = [r["doc_id"] for r in before], np.arange(len(before))
+    components.merge(parent, *np.nonzero(near))
+    least = {}
+    for k, p in zip(keys, parent):
+        least[p] = min(k, least.get(p, k))
+    assert sorted(after) == sorted(r for r in before if r["doc_id"] in least.values())

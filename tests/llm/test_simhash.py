@@ -98,3 +98,34 @@ def test_hot_keys_take_the_other_way(spark):
     values = rows.groupBy("key").count().selectExpr("key", "count as n", "key * 10 as v")
     got = common.attach(rows, values, "key", "n", rows.count()).collect()
     assert sorted((r["id"], r["v"]) for r in got) == [(k, 10 if k % 3 else 10 * k) for k in range(1, 3000)]
+
+
+def brute_set(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i:i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+def test_similar_texts_are_linked(spark, odd, empty):
+    """Texts of 5-word similarity 0.8 and more lie up to 11 bits apart; less similar ones stay apart."""
+    rng, rows, key = np.random.default_rng(3), [], 0
+    for _ in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        for changes in (0, 1, 2, 3, 8, 12):
+            at = rng.choice(len(words), changes, replace=False)
+            key += 1
+            rows.append((key, " ".join("changed" + str(key) if k in at else w for k, w in enumerate(words))))
+    sets = [brute_set(t) for _, t in rows]
+    near = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    parent = np.arange(len(rows))
+    components.merge(parent, *np.nonzero(np.array(near)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (256, 2):
+        got = [(r["a"], r["b"]) for r in simhash.similar_links(frame, "doc_id", "text", 0.8, block=block).collect()]
+        assert all(near[a - 1][b - 1] for a, b in got)
+        found = np.arange(len(rows))
+        components.merge(found, *(np.array(got).T - 1))
+        assert (found == parent).all()
+    kept = {r["doc_id"] for r in simhash.keep_one(frame, similarity=0.8).collect()}
+    assert kept == {rows[p][0] for p in parent} and len(kept) < simhash.keep_one(frame).count()
+    assert simhash.near_duplicates(odd, similarity=0.8).count() == odd.count()
+    assert simhash.keep_one(empty, similarity=0.8).count() == 0
