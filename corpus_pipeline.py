@@ -38,8 +38,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
-    return packed(docs)
+    """Pieces of documents in sequences, in the written training order."""
+    return packed(docs, written=True)
 
 
 def _counted(docs: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from collections import deque
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window, functions as F
 
 from profuse.session import stored
@@ -182,41 +183,69 @@ class Packer:
         return pieces
 
 
+def reads_files(docs: DataFrame) -> bool:
+    """Whether the rows are those of files, so that file name and row index are their order."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    if not plan.children().isEmpty():
+        return False
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None,
-         key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+         key: str = "doc_id", text: str = "text", window: int = WINDOW, written: bool = False) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is one end mark.  Ties do not arise: the order is that
     of the table's partitions and rows, repeated rows are packed each, null keys
     stay null.  Other columns are not read; an empty table has no sequence.
+
+    Reading files again deals their splits by size, so partitions lose the order
+    in which a table was written.  With ``written``, a table that is read
+    directly from files is packed in the order of file names and rows: each
+    stretch of consecutive rows of a file is a run.
     """
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
+    by_file = written and reads_files(docs)
+    place = ["_metadata.file_path", "_metadata.row_index"] if by_file else [F.lit("").alias("file_path"), F.lit(None).cast("long").alias("row_index")]
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), *place)
     kind = rows.schema["_key"].dataType.simpleString()
 
     def run(batches):
-        packer, part = Packer(Encoder(tokenizer, ranks, pattern), window), TaskContext.get().partitionId()
+        encoder, packer, before, part = Encoder(tokenizer, ranks, pattern), None, None, TaskContext.get().partitionId()
 
-        def out(pieces):
+        def out(pieces, origin):
             columns = list(zip(*pieces))
             types = [key_type, *[pa.int64()] * 6]
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([part] * len(pieces), pa.int32())], names=names)
+            runs = [pa.array([x] * len(pieces), t) for x, t in zip(origin, (pa.string(), pa.int64()))]
+            return pa.RecordBatch.from_arrays([*arrays, *runs], names=names)
 
-        names, key_type = ["_key", "start", "length", "ids_crc32", "doc_tokens", "sequence", "offset", "run"], None
+        names, key_type = ["_key", "start", "length", "ids_crc32", "doc_tokens", "sequence", "offset", "file", "first"], None
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for row, value in zip(batch.column(0), batch.column(1)):
+            for row, value, file, index in zip(*batch.columns):
+                here = (file.as_py(), index.as_py() if by_file else part)
+                if packer is None or (by_file and here != (before[0], before[1] + 1)):
+                    if packer and (pieces := packer.finish()):
+                        yield out(pieces, origin)
+                    packer, origin = Packer(encoder, window), here
+                before = here
                 if pieces := packer.add(row.as_py(), value.as_py()):
-                    yield out(pieces)
-        if pieces := packer.finish():
-            yield out(pieces)
+                    yield out(pieces, origin)
+        if packer and (pieces := packer.finish()):
+            yield out(pieces, origin)
 
     found = stored(rows.mapInArrow(
-        run, f"_key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long, run int"), "pieces")
-    # One row per input partition.
-    counts = found.groupBy("run").agg((F.max("sequence") + 1).alias("n"))
-    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return found.join(F.broadcast(offsets), "run").select(
+        run, f"_key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long, file string, first long"), "pieces")
+    # One row per input partition or stretch of a file.
+    counts = found.groupBy("file", "first").agg((F.max("sequence") + 1).alias("n"))
+    before = Window.orderBy("file", "first").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return found.join(F.broadcast(offsets), ["file", "first"]).select(
         F.col("_key").alias(key), "start", "length", "ids_crc32", "doc_tokens",
         (F.col("base") + F.col("sequence")).alias("sequence_id"), "offset")

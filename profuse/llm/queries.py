@@ -43,11 +43,11 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linerules.judge(table(spark, sf_dir, "documents"))
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, written: bool = False) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
-                        public_tokenizers.PATTERN)
+                        public_tokenizers.PATTERN, written=written)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,17 @@ def test_stretches_lose_nothing(monkeypatch, stretch):
     pieces += packer.finish()
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     check([{"doc_id": k, "text": t} for k, t in enumerate(texts)], [dict(zip(names, p)) for p in pieces])
+
+
+def test_sequences_follow_the_written_order(spark, tmp_path):
+    """Files of very different sizes, which a scan deals by size, keep their order."""
+    n = 400
+    rows = [(k, f"Text number {k}. " * (1 + (k * 7 // 50) % 40)) for k in range(n)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+    frame.write.parquet(str(tmp_path / "t"))
+    again = spark.read.parquet(str(tmp_path / "t"))
+    assert [r["doc_id"] for r in again.collect()] != list(range(n))
+    got = packing.pack(again, *FILES, written=True).collect()
+    check(again.collect(), got, most_padding=0.02)
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])) if r["start"] == 0] == list(range(n))
+    assert not packing.reads_files(again.groupBy("doc_id").count()) and not packing.reads_files(frame)
