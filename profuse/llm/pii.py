@@ -25,19 +25,22 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-#: A word with a digit or @, or a bracketed area code and the word after it.
-LOOSE = r"(?<![^\x20\x09-\x0D])(?:\([0-9]{2,4}\) [0-9][0-9.-]*+|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+#: A word with a digit or @.
+LOOSE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_GROUP = r"\(?[0-9][0-9./()-]*+(?![^\x20\x09-\x0D,;:!?\"'\]}>])"
+#: Two or more groups of digits with single spaces between them, some perhaps in brackets.
+SPACED = rf"(?<![^\x20\x09-\x0D\"'\[{{<]){_GROUP}(?: {_GROUP})++"
 #: What an instance of a kind must look like to be taken from its context alone.
 SHAPES = {
     "email": r"^[^@]+@[^@]+$",
     "ip": r"^(?:[0-9]{1,3}(?:[.:-][0-9]{1,3}){3}|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7})$",
     "card": r"^[0-9](?:[ ./-]?[0-9]){11,18}$",
-    "phone": r"^[(0-9](?:[ ()./-]?[0-9]){6,14}$",
+    "phone": r"^[(0-9](?:(?:\)[ -]| \(|[ ()./-])?[0-9]){6,14}$",
 }
 EDGES = "\"'()[]{}<>.,;:!?"
 CONTEXT = 64
 WORD_BREAK = r"[\x20\x09-\x0D\"'()\[\]{}<>.,;:!?]+"
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE, ROUNDS = 3, 0.5, 0.6, 5
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE = 3, 0.5, 0.6
 
 
 def _luhn(digits: Column) -> Column:
@@ -97,7 +100,7 @@ def base_spans(text: Column) -> Column:
 
 
 def loose_spans(text: Column, base: Column) -> Column:
-    """Identifier-like words that no base match touches, without the signs around them."""
+    """Identifier-like words and spaced numbers that no base match touches, without the signs around them."""
     empty = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,value:string>>")
 
     def trim(s: Column) -> Column:
@@ -107,7 +110,8 @@ def loose_spans(text: Column, base: Column) -> Column:
         start = s["start"] + F.length(s["value"]) - F.length(head)
         return F.struct(start.alias("start"), s["ord"].alias("ord"), (start + F.length(body)).alias("end"), s["kind"].alias("kind"), body.alias("value"))
 
-    trimmed = F.transform(found(text, LOOSE, None), trim)
+    shaped = lambda s: s["value"].rlike(SHAPES["phone"]) | s["value"].rlike(SHAPES["card"])
+    trimmed = F.concat(F.transform(found(text, LOOSE, None), trim), F.filter(F.transform(found(text, SPACED, None), trim), shaped))
     free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (F.length(s["value"]) > 4)
     return F.when(text.rlike("[0-9@]"), F.filter(trimmed, free)).otherwise(empty)
 
@@ -160,7 +164,8 @@ def bootstrap(docs: DataFrame, marked: DataFrame, text: str = "text") -> DataFra
     uses = edges.where("kind is not null").select("kind", "value", "side", "word", "n").unionByName(
         slots.select("kind", "value", "side", "word", "n"))
     size = -1
-    for _ in range(ROUNDS):
+    # More instances only raise confidences, so the instances grow until nothing is added.
+    while True:
         support = uses.join(taught.select("kind", "value"), ["kind", "value"], "left_semi").groupBy("kind", "side", "word").agg(
             F.count_distinct("value").alias("support"), F.sum("n").alias("held"))
         patterns = support.where(F.col("support") >= MIN_SUPPORT).join(totals, "word").select(
@@ -185,7 +190,11 @@ def added_spans(docs: DataFrame, marked: DataFrame, text: str = "text") -> DataF
     hits = join_checked(flat, taught, ["value"], "inner")
     order = sum((F.when(F.col("found") == k, F.lit(i)).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
     span = F.struct("start", order.cast("int").alias("ord"), "end", F.col("found").alias("kind"), "value")
-    return stored(hits.groupBy("h", "g").agg(F.collect_set(span).alias("more")), "added")
+    # A word inside a longer identifier is part of it.
+    inside = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    more = hits.groupBy("h", "g").agg(F.collect_set(span).alias("all"))
+    widest = F.filter("all", lambda s: ~F.exists("all", lambda o: inside(s, o)))
+    return stored(more.select("h", "g", widest.alias("more")), "added")
 
 
 def _listed(spans: Column) -> Column:

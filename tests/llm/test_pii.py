@@ -80,3 +80,25 @@ def test_redaction(spark, odd):
     assert got[100]["text"] == "You may tel <PHONE> today." and got[102]["text"] == taught()[10][1]
     left = pii.redact(odd)
     assert left.columns == odd.columns and left.count() == odd.count()
+
+
+def test_national_forms_with_spaces_are_found(spark):
+    rows = taught() + [(200, "You may tel 020 7946 0958 today."), (201, "You may tel (555) 010-7777, or not."), (202, "In 1984 2001 300 came."),
+                       (203, "Just tel (0)20 7946 0958 today."), (204, "Then tel 01 23 45 67 89 today.")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(frame)).collect()}
+    assert got[200] == "phone:12:25" and got[201] == "phone:12:26" and got[202] == ""
+    assert got[203] == "phone:9:24" and got[204] == "phone:9:23" and got[100] == "phone:12:24"
+    left = {r["doc_id"]: r["text"] for r in pii.redact(frame).collect()}
+    assert left[200] == "You may tel <PHONE> today." and left[201] == "You may tel <PHONE>, or not."
+
+
+def test_rounds_go_on_until_nothing_is_added(spark):
+    """A chain: the values of a link are known only when the link before it is."""
+    number = lambda link, k: f"555-{100 + link}-{1000 + k}"
+    texts = [f"w0 +1 (555) 010-{1000 + k} end{k}" for k in range(8)] + [f"w0 {number(0, k)} x" for k in range(3)]
+    for link in range(8):
+        texts += [f"w{link + 1} {number(link, k)} x" for k in range(3)] * 2 + [f"w{link + 1} {number(link + 1, k)} x" for k in range(3)]
+    texts += ["x"] * 500
+    got = pii.digest(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert all((r["spans"] != "") == ("555" in texts[r["doc_id"]]) for r in got)
