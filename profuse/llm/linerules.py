@@ -27,6 +27,9 @@ BOILERPLATE = (
 MENU = ("home", "menu", "login", "logout", "register", "contact", "about", "search", "sitemap", "next", "previous", "share", "print", "top", "help", "faq")
 MENU_LINE = r"^(?:[\x20\x09|>/·»›•-]*(?:" + "|".join(MENU) + r")\b[\x20\x09|>/·»›•-]*)+$"
 
+#: Punctuation of any script that parts sentences or words, without signs of markup, units and quoting.
+STOPS = r"[\p{Po}&&[^#%&*@/\\'\"]]"
+
 
 def repeated_words(found: Column) -> Column:
     """Number of words that lie in windows of five which the text holds twice or more."""
@@ -67,7 +70,7 @@ def line_fails(line: Column) -> Column:
     """Whether a line is navigation or has the punctuation of neither prose nor verse."""
     symbols = F.regexp_count(line, F.lit(f"[{SYMBOLS}]")) > MAX_SYMBOL_SHARE * F.length(line)
     shouting = F.regexp_count(line, F.lit("!!")) * 20 > F.length(line)
-    salad = ~line.rlike(r"[.,;:!?…。]") & (F.regexp_count(line, F.lit(SPACE)) >= SALAD_WORDS)
+    salad = ~line.rlike(STOPS) & (F.regexp_count(line, F.lit(SPACE)) >= SALAD_WORDS)
     return symbols | shouting | salad | F.lower(F.trim(line)).rlike(MENU_LINE)
 
 

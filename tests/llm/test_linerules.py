@@ -65,3 +65,11 @@ def test_lines_go_and_documents_with_them(spark):
 
 def test_columns_stay(odd):
     assert linerules.clean(odd).columns == odd.columns
+
+
+def test_stops_of_other_scripts_are_punctuation(spark):
+    words = " ".join(f"شبد{k}" for k in range(24))
+    for stop in "۔।։።،":
+        assert kept_text(spark, f"{words}{stop}") == f"{words}{stop}"
+    for sign in ("", " #", " it's", " a-b"):
+        assert kept_text(spark, words + sign) is None
