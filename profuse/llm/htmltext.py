@@ -2,7 +2,8 @@
 
 The page becomes lines, one per block element; markup, scripts, styles, forms
 and elements that name themselves as menus, headers, footers, sidebars, notices,
-adverts or comments leave empty lines.  Text lengths (without link text) are
+adverts or comments leave empty lines, unless they lie between blocks of one part
+or hold nearly all text.  Text lengths (without link text) are
 summed over sliding windows of lines.  A run of lines starts at a surge (the
 window sum rises from zero past the threshold) and ends at a dive (back to
 zero).  If the page marks its article or main part, that part is the run.
@@ -40,6 +41,19 @@ PARTS = {
     "newsletter", "subscribe", "subscription", "signup", "login", "search", "share", "sharing", "social",
     "comment", "comments", "discussion", "disqus", "replies", "reply", "respond", "navigationbar",
 }
+#: Words that may stand beside one of PARTS in a name; any other word (as in no-sidebar or comments-open) makes it another name.
+BESIDE = {
+    "box", "wrapper", "wrap", "container", "list", "area", "section", "block", "left", "right", "top", "bottom", "bar", "inner", "outer",
+    "item", "items", "link", "links", "button", "buttons", "site", "page", "post", "posts", "form", "primary", "secondary", "main",
+    "column", "col", "panel", "unit", "slot", "icons", "title", "header", "holder", "group", "row", "thread", "global", "fixed", "sticky",
+}
+#: A part that its class, id or role names, but that holds more than this share of the text, is not dropped.
+MOST = 0.9
+#: Blocks that only arrange text inside a larger part.
+FLOW = {
+    "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "address", "ul", "ol", "li", "dl", "dt", "dd", "figure", "figcaption",
+    "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "hr", "details", "summary",
+}
 HEADS = {"header", "site-header", "page-header", "topbar", "top-bar"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -48,39 +62,45 @@ _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|
 _SPACE = re.compile(r"\s+")
 
 
-def outside(name: str, attributes: str) -> bool:
-    """Whether an element says that it is not part of the article."""
+def outside(name: str, attributes: str) -> str | None:
+    """How an element says that it is not part of the article: by "kind" (element or hidden) or by "name"."""
     if name in BOILERPLATE:
-        return True
+        return "kind"
     if name in ("html", "body", "main") or not attributes:
-        return False
+        return None
     if _HIDDEN.search(attributes):
-        return True
+        return "kind"
     for _, *values in _NAMES.findall(attributes):
         for label in "".join(values).lower().split():
-            if label in HEADS or PARTS & set(re.split(r"[^a-z]+", label)):
-                return True
-    return False
+            words = set(re.split(r"[^a-z]+", label)) - {""}
+            if label in HEADS or (words & PARTS and words <= PARTS | BESIDE):
+                return "name"
+    return None
 
 
 class _Page:
-    """Lines of a page: (text, letters outside links, container, dropped by)."""
+    """Lines of a page: (text, letters outside links, container, dropped by, home); a gap is its home."""
 
     def __init__(self) -> None:
         self.lines, self.words, self.plain = [], [], 0
-        self.stack = []          # (name, dropping elements around it, container, in a link, drops itself)
+        self.stack = []          # (name, dropping elements around it, container, in a link, drops itself, home)
         self.holds = {}          # dropping element -> holds a container of its own
+        self.named = set()       # dropping elements that only their class, id or role names
+        self.homes = 0           # a home is the innermost part that is not just a block of text
         self.containers, self.clear = 0, False   # clear: a container stands outside all dropped elements
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", html.unescape("".join(self.words))).strip()
         if text:
-            top = self.stack[-1] if self.stack else (None, (), 0, False)
-            self.lines.append((text, self.plain, top[2], top[1]))
+            top = self.stack[-1] if self.stack else (None, (), 0, False, None, 0)
+            self.lines.append((text, self.plain, top[2], top[1], top[5]))
         self.words, self.plain = [], 0
 
-    def gap(self) -> None:
-        self.lines.append(None)
+    def gap(self, at: int) -> None:
+        """Where the element at ``at`` of the stack begins or ends; inside a dropped element nothing needs one."""
+        around = self.stack[at - 1] if at else (None, (), 0, False, None, 0)
+        if not around[1]:
+            self.lines.append(around[5])
 
     def text(self, text: str) -> None:
         if text:
@@ -91,8 +111,8 @@ class _Page:
     def close(self, at: int) -> None:
         if any(x[0] in BLOCKS for x in self.stack[at:]):
             self.flush()
-        if any(x[4] for x in self.stack[at:]):
-            self.gap()
+        if gone := [k for k in range(at, len(self.stack)) if self.stack[k][4]]:
+            self.gap(gone[0])
         del self.stack[at:]
 
     def start(self, name: str, attributes: str) -> None:
@@ -103,11 +123,14 @@ class _Page:
             self.words.append(" ")
         if name in VOID:
             return
-        _, drops, container, link = self.stack[-1][:4] if self.stack else (None, (), 0, False)
-        is_out = outside(name, attributes) or (name == "header" and not container)
+        _, drops, container, link, _, home = self.stack[-1] if self.stack else (None, (), 0, False, None, 0)
+        why = outside(name, attributes)
+        is_out = bool(why) or (name == "header" and not container)
         if is_out:
             self.flush()
-            self.gap()
+            self.gap(len(self.stack))
+            if why == "name":
+                self.named.add(len(self.holds))
             self.holds[len(self.holds)] = False
             drops = drops + (len(self.holds) - 1,)
         elif name in CONTAINERS:
@@ -117,7 +140,10 @@ class _Page:
             if not container or not drops:
                 self.containers += 1
                 container = container or self.containers
-        self.stack.append((name, drops, container, link or name == "a", is_out))
+        if is_out or (name in BLOCKS and name not in FLOW):
+            self.homes += 1
+            home = self.homes
+        self.stack.append((name, drops, container, link or name == "a", is_out, home))
 
     def _implied_end(self, name: str) -> None:
         closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(name, ("p",))
@@ -161,15 +187,33 @@ def page_lines(source: str) -> list:
         else:
             page.start(name, found.group(3))
     page.flush()
-    lines = []
+    most = _held_most(page)
+    lines, gaps, home = [], [], None
     for line in page.lines:
-        if line is None:
-            lines.append(None)
-        elif not line[3] or (not page.clear and all(page.holds[k] for k in line[3])):
+        if isinstance(line, int):
+            gaps.append(line)
+            continue
+        drops = [k for k in line[3] if k not in most]
+        if not drops or (not page.clear and all(page.holds[k] for k in drops)):
+            # What is removed between two blocks of one part does not separate them.
+            if any(g != home or g != line[4] for g in gaps):
+                lines.append(None)
             lines.append(line[:3])
+            gaps, home = [], line[4]
     return lines
 
 
+def _held_most(page: _Page) -> set:
+    """Parts dropped by name alone that hold most of the text outside the parts dropped by kind."""
+    sizes, total = dict.fromkeys(page.named, 0), 0
+    for line in page.lines:
+        if not isinstance(line, int) and page.named.issuperset(line[3]):
+            total += len(line[0])
+            for k in line[3]:
+                sizes[k] += len(line[0])
+    return {k for k, size in sizes.items() if size > MOST * total}
+
+
 def blocks(plain: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
     """Runs of lines between a surge and the next dive of the window sums.
 
@@ -203,10 +247,7 @@ def main_text(source: str | None) -> str:
     for line in lines:
         spread += [None] * GAP if line is None else [line]
     plain = np.array([0 if line is None else line[1] for line in spread], dtype=np.int64)
-    runs = blocks(plain)
-    totals = [plain[s:e].sum() for s, e in runs]
-    return "\n".join(
-        line[0] for (s, e), t in zip(runs, totals) if 4 * t >= max(totals) for line in spread[s:e] if line is not None)
+    return "\n".join(line[0] for s, e in blocks(plain) for line in spread[s:e] if line is not None)
 
 
 def extract(pages: DataFrame, page: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

@@ -55,3 +55,24 @@ def test_odd_pages(spark):
     got = sorted(map(tuple, htmltext.extract(frame).collect()), key=str)
     assert got == sorted([(1, None, "", 0), (None, "u", "", 0), (2, "u", "x", 1), (2, "u", "x", 1)], key=str)
     assert htmltext.extract(frame.limit(0)).count() == 0
+
+
+LONG = "A sentence of the article that goes on for a while. " * 8
+SHORT = "An introduction of ninety characters, which is short beside the rest but belongs to the text."
+
+
+def test_removed_boxes_do_not_cut_the_text():
+    long = LONG.strip()
+    for box in ("<div class=ad>Buy</div>", "<aside><form>x</form></aside>", "<div class='share-buttons'><ul><li>Post</ul></div>"):
+        page = f"<div class=content><p>{SHORT}</p>{box}<p>{long}</p><p>{long}</p>{box}<p>The end.</p></div>"
+        assert htmltext.main_text(page) == "\n".join([SHORT, long, long, "The end."])
+        assert htmltext.main_text(f"<body><div>Tag</div><nav>Home</nav>{page}<footer>Foot</footer><div>Imprint</div></body>") == "\n".join([SHORT, long, long, "The end."])
+    # A second part counts by its own surge, however long the first is.
+    assert htmltext.main_text(f"<div><p>{long * 5}</p></div><nav>x</nav><div><p>{SHORT}</p></div>") == f"{long * 5}\n{SHORT}"
+
+
+def test_names_are_whole_and_most_of_the_text_stays():
+    for page in ("<div class='content no-sidebar'>{}</div>", "<article class='post comments-open'>{}</article>", "<div class='has-sidebar'>{}</div>",
+                 "<div class='page sidebar-right'>{}</div>", "<article class='widget'>{}<div class='ad-slot'>Buy</div></article>"):
+        assert htmltext.main_text(page.format(ARTICLE)) == TEXT
+    assert htmltext.main_text(f"<div>{ARTICLE}</div><div class='comments-area'>{ARTICLE * 2}</div>") == TEXT
