@@ -134,13 +134,17 @@ def _spectra(batches):
 
 
 def learn(labelled: DataFrame, per_language: int = 256, landmarks: int = 160, max_languages: int = 400) -> Model:
-    """Fit on (doc_id, text, lang) rows; null or empty texts and null languages teach nothing.
+    """Fit on (text, lang) rows; null or empty texts and null languages teach nothing.
 
+    The sample of a language is its distinct texts of least hash, whatever their
+    keys, so copies and repeated keys are one text and the rows collected stay
+    near ``per_language``; a text with several labels may teach each.  Other
+    columns are not read.  An empty table gives a model that predicts ``und``.
     More than ``max_languages`` different labels are refused.
     """
-    rows = labelled.where("lang is not null and text is not null and text <> ''").withColumn(
-        "rank", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)))
-    counts = rows.groupBy("lang").count().limit(max_languages + 1).collect()
+    rows = labelled.select("text", "lang").where("lang is not null and text is not null and text <> ''").withColumn(
+        "rank", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("rank", 0.02).alias("count")).limit(max_languages + 1).collect()
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
@@ -149,7 +153,7 @@ def learn(labelled: DataFrame, per_language: int = 256, landmarks: int = 160, ma
     bound = F.lit(None).cast("long")
     for r in counts:
         bound = F.when(F.col("lang") == r["lang"], F.lit(min(1 << 40, int((1 << 40) * 1.3 * per_language / r["count"]) + 1))).otherwise(bound)
-    picked = rows.where(F.col("rank") < bound).select("rank", "lang", "text").mapInArrow(
+    picked = rows.where(F.col("rank") < bound).groupBy("rank", "lang").agg(F.min("text").alias("text")).mapInArrow(
         _spectra, "rank long, lang string, places binary").collect()
     taken: dict = {}
     for r in sorted(picked, key=lambda r: (r["rank"], r["lang"], bytes(r["places"]))):
@@ -163,6 +167,8 @@ def predict(docs: DataFrame, model: Model, *keys: Column, text: str = "text") ->
     """The key columns, ``lang_pred`` and ``score`` of every row.
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned.
+    Ties between languages go to the first in code point order.  Repeated rows
+    each get a row, other columns are not read, an empty table gives an empty result.
     """
     rows = docs.select(*keys, F.col(text).cast("string").alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["lang_pred string", "score double"])

@@ -97,6 +97,22 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         sum((take for _, take in passes), F.lit(0)).cast("long").alias("taken"), F.array_compact(positions).alias("positions"))
 
 
+def places(plan: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``mix`` with ``places``: the rank (0..n-1) that each of ``positions`` has among all passes of all documents.
+
+    The passes are range-sorted by position, then key (null last) and text hash;
+    equal rows are interchangeable.  An empty table gives an empty result.
+    """
+    own = [c for c in plan.columns if c != "positions"]
+    rows = plan.withColumn("_pf_row", F.monotonically_increasing_id())
+    rows = rows.select(*own, "_pf_row", F.posexplode_outer("positions").alias("_pf_pass", "_pf_at"))
+    placed = ordered(rows, [F.col("_pf_at").asc_nulls_last(), F.col(key).asc_nulls_last(), F.col("text_hash")], "places")
+    one = F.struct(F.col("_pf_pass").alias("k"), F.col("_pf_at").alias("at"), F.col("position").alias("place"))
+    passes = placed.groupBy("_pf_row").agg(
+        *[F.first(c).alias(c) for c in own], F.array_sort(F.collect_list(F.when(F.col("_pf_at").isNotNull(), one))).alias("_pf_all"))
+    return passes.select(*own, F.col("_pf_all")["at"].alias("positions"), F.col("_pf_all")["place"].alias("places"))
+
+
 def training_set(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents in training order, one row per pass that takes them; all columns stay.
 

@@ -38,8 +38,11 @@ SHAPES = {
     "phone": r"^[(0-9](?:(?:\)[ -]| \(|[ ()./-])?[0-9]){6,14}$",
 }
 EDGES = "\"'()[]{}<>.,;:!?"
-CONTEXT = 64
+#: Windows in which the word beside a mention is sought, each only if it has no end in the one before; then the whole side.
+CONTEXT = (64, 1 << 12, 1 << 18)
 WORD_BREAK = r"[\x20\x09-\x0D\"'()\[\]{}<>.,;:!?]+"
+#: A left or right window that may cut its word: nothing but breaks and one word, up to the edge.
+CUT_LEFT, CUT_RIGHT = (f"^[^{WORD_BREAK[1:-2]}]*+[{WORD_BREAK[1:-2]}]*+$", f"^[{WORD_BREAK[1:-2]}]*+[^{WORD_BREAK[1:-2]}]*+$")
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE = 3, 0.5, 0.6
 
 
@@ -117,15 +120,22 @@ def loose_spans(text: Column, base: Column) -> Column:
 
 
 def _with_context(text: Column, spans: Column) -> Column:
-    """Adds the lower-cased words left and right of each span; a word further than 64 characters away is none."""
-    def context(s: Column) -> Column:
-        left = F.substr(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
-        right = F.substr(text, s["end"] + 1, F.lit(CONTEXT))
+    """Adds the lower-cased whole words left and right of each span, however long or far; empty where a side has none."""
+    def side(of, cut: str, room: Column) -> Column:
+        """The narrowest window that holds the whole word."""
+        found = of(room)
+        for width in reversed(CONTEXT):
+            found = F.when((room > width) & of(F.lit(width)).rlike(cut), found).otherwise(of(F.least(room, F.lit(width))))
+        return found
+
+    def context(s: Column, length: Column) -> Column:
+        left = side(lambda n: F.substr(text, s["start"] - n + 1, n), CUT_LEFT, s["start"])
+        right = side(lambda n: F.substr(text, s["end"] + 1, n), CUT_RIGHT, length - s["end"])
         word = lambda w, side: F.element_at(F.concat(F.array(F.lit("")), F.array_remove(F.split(F.lower(w), WORD_BREAK), "")), side)
         last = word(left, -1)
         after = F.array_remove(F.split(F.lower(right), WORD_BREAK), "")
         return F.struct(s["start"], s["end"], s["kind"], s["value"], last.alias("left"), F.coalesce(F.get(after, F.lit(0)), F.lit("")).alias("right"))
-    return F.transform(spans, context)
+    return let(F.length(text), lambda length: F.transform(spans, lambda s: context(s, length)))
 
 
 def mark(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -55,7 +55,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    plan = mixing.places(mixing.mix(table(spark, sf_dir, "documents")))
+    each = [F.get(c, F.lit(k)).alias(f"{name}_{k + 1}") for c, name in (("positions", "position"), ("places", "place")) for k in range(mixing.MOST)]
+    return plan.select("doc_id", "size", "source_size", "target", "taken", *each)
 
 
 def op10_url_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,19 @@ def test_odd_rows(odd, empty):
     nothing = langid.learn(empty.select("doc_id", "text", "lang"))
     assert {r["lang_pred"] for r in langid.predict(odd, nothing, F.col("doc_id")).collect()} == {"und"}
     assert langid.predict(empty, model, F.col("doc_id")).count() == 0
+
+
+def test_rows_that_share_a_key_or_text_stay_few(spark):
+    """Repeated keys are no way around the bound, and copies of a text teach once."""
+    from profuse.llm import langid
+
+    rows = [(1 if k % 2 else None, f"text number {k} of {k % 97} words", "ab"[k % 2]) for k in range(4000)] + [(7, "the same text", "a")] * 3000
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    solve = langid.solve
+    try:
+        langid.solve = lambda found, landmarks: seen.append(found) or solve(found, landmarks)
+        langid.learn(frame, per_language=50)
+    finally:
+        langid.solve = solve
+    assert {lang for lang, _ in seen[0]} == {"a", "b"} and 60 <= len(seen[0]) <= 100

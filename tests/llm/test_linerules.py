@@ -63,6 +63,12 @@ def test_lines_go_and_documents_with_them(spark):
     assert kept_text(spark, None) is None
 
 
+def test_boilerplate_counts_as_lost(spark):
+    notice = "All rights reserved. The terms of use of this site are licensed under a licence of this site.\n"
+    assert kept_text(spark, PROSE + notice * 19) is None
+    assert kept_text(spark, PROSE * 1 + notice.strip()) == PROSE[:-1]
+
+
 def test_columns_stay(odd):
     assert linerules.clean(odd).columns == odd.columns
 

@@ -1,6 +1,8 @@
+import math
 import re
 
 import pytest
+import xxhash
 
 from profuse.llm import mixing, queries
 
@@ -48,7 +50,43 @@ def check(frame):
 
 def test_documents(spark):
     check(spark.read.parquet(f"{SF}/documents.parquet"))
-    assert queries.op9_mixing(spark, SF).count() == 1000
+    got = queries.op9_mixing(spark, SF).collect()
+    assert len(got) == 1000 and len({r["doc_id"] for r in got}) == 1000
+    passes = sorted((r[f"position_{k}"], r["doc_id"], r[f"place_{k}"]) for r in got for k in (1, 2) if r[f"position_{k}"] is not None)
+    # Ranks are gapless and follow the positions, then the keys; positions are those of the plan.
+    assert [p for _, _, p in passes] == list(range(len(passes)))
+    plan = {r["doc_id"]: r["positions"] for r in mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert all([r[f"position_{k}"] for k in (1, 2) if r[f"position_{k}"] is not None] == plan[r["doc_id"]] for r in got)
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_positions_invert_the_demand(spark):
+    """Documents of a source in hash order: the demand's integral at a document's position is its first word's share."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = mixing.mix(frame).collect()
+    source = {r["doc_id"]: r["source"] for r in frame.select("doc_id", "source").collect()}
+    runs, by_source = math.isqrt(len(rows)), {}
+    for r in rows:
+        first = xxhash.xxh64_intdigest(r["doc_id"].to_bytes(8, "little", signed=True), 42)
+        order = signed(xxhash.xxh64_intdigest(r["text_hash"].to_bytes(8, "little", signed=True), first))
+        by_source.setdefault(source[r["doc_id"]], []).append(((order >> 20) % runs, order, r))
+    names = sorted(by_source)
+    for s, mine in by_source.items():
+        slope, at = mixing.SLOPES[names.index(s) % 3], 0
+        for _, _, r in sorted(mine, key=lambda x: x[:2]):
+            goal, want, taken = math.floor(r["target"] + 0.5), [], 0
+            for k in range(2):
+                start = at + k * r["source_size"]
+                take = max(0, min(r["size"], goal - start))
+                taken += take
+                if take:
+                    want.append(min(start / r["target"], 1.0))
+            share = [(1 - slope) * t + slope * t * t for t in r["positions"]]
+            assert share == pytest.approx(want, abs=1e-9) and taken == r["taken"]
+            at += r["size"]
 
 
 def test_capped_sources(spark):
@@ -59,7 +97,9 @@ def test_capped_sources(spark):
 
 def test_odd_rows(odd, empty):
     check(odd)
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.places(mixing.mix(empty)).count() == 0
+    placed = mixing.places(mixing.mix(odd)).collect()
+    assert len(placed) == odd.count() and sorted(p for r in placed for p in r["places"]) == list(range(sum(len(r["positions"]) for r in placed)))
     got = mixing.training_set(odd)
     assert got.columns == odd.columns
     assert mixing.training_set(empty).count() == 0

@@ -102,3 +102,17 @@ def test_rounds_go_on_until_nothing_is_added(spark):
     texts += ["x"] * 500
     got = pii.digest(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
     assert all((r["spans"] != "") == ("555" in texts[r["doc_id"]]) for r in got)
+
+
+def test_context_words_are_whole(spark):
+    """A neighbouring word longer than any window is found whole, on both sides, near or far."""
+    rows, wanted = [], []
+    for c, length in enumerate((40, 80, 5000, 300_000)):
+        for gap in (" ", " " * 70):
+            left, right, at = f"l{c}{len(gap)}l" * (length // 4), f"r{c}{len(gap)}r" * (length // 4), len(rows)
+            left, right = (w.translate(str.maketrans("0123456789", "abcdefghij")) for w in (left, right))
+            rows += [(at + k, f"{left}{gap}+1 555 010 77{k:02d}") for k in range(4)] + [(at + 4, f"{left}{gap}555{at:07d} done")]
+            rows += [(at + 5 + k, f"+1 555 020 77{k:02d}{gap}{right}") for k in range(4)] + [(at + 9, f"556{at:07d}{gap}{right}")]
+            wanted += [at + 4, at + 9]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k in wanted if len(got[k]["spans"]) != 1] == []

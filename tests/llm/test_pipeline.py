@@ -31,12 +31,6 @@ def test_quality(stages):
     assert all(set(after[k].split("\n")) <= set(before[k].split("\n")) for k in after)
 
 
-def test_duplicates(stages):
-    before, after = (x.collect() for x in stages["near_duplicates"])
-    roots = test_simhash.brute_roots([test_simhash.brute_print(r["text"]) for r in before], [r["doc_id"] for r in before])
-    assert sorted(after) == sorted(r for r, c in zip(before, roots) if r["doc_id"] == c)
-
-
 def test_personal_data(stages):
     before, after = ({r["doc_id"]: r["text"] for r in x.collect()} for x in stages["personal_data"])
     assert set(before) == set(after)

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from profuse.llm import common, components, simhash
@@ -119,7 +120,7 @@ def test_similar_texts_are_linked(spark, odd, empty):
     parent = np.arange(len(rows))
     components.merge(parent, *np.nonzero(np.array(near)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (256, 2):
+    for block in (256, 2, 7):
         got = [(r["a"], r["b"]) for r in simhash.similar_links(frame, "doc_id", "text", 0.8, block=block).collect()]
         assert all(near[a - 1][b - 1] for a, b in got)
         found = np.arange(len(rows))
@@ -129,3 +130,24 @@ def test_similar_texts_are_linked(spark, odd, empty):
     assert kept == {rows[p][0] for p in parent} and len(kept) < simhash.keep_one(frame).count()
     assert simhash.near_duplicates(odd, similarity=0.8).count() == odd.count()
     assert simhash.keep_one(empty, similarity=0.8).count() == 0
+
+
+@pytest.mark.parametrize("edits", [1, 8])
+def test_large_groups_of_near_copies_give_few_links(spark, edits):
+    """Near copies of one text: links stay a small multiple of the texts, and the groups are those of brute force."""
+    rng = np.random.default_rng(edits)
+    words, counts = [f"w{x}" for x in rng.integers(0, 9000, 160)], []
+    for n in (300, 600):
+        rows = [(k, " ".join(f"e{k}" if j in at else w for j, w in enumerate(words))) for k in range(n) for at in [set(rng.choice(160, edits, replace=False).tolist())]]
+        found = simhash.similar_links(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 0.8, block=16).collect()
+        sets = [brute_set(t) for _, t in rows]
+        near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+        assert all(near[r["a"], r["b"]] for r in found)
+        parent, got = np.arange(n), np.arange(n)
+        components.merge(parent, *np.nonzero(near))
+        if found:
+            components.merge(got, np.array([r["a"] for r in found]), np.array([r["b"] for r in found]))
+        # Bands miss a pair at 0.8 once in 4,600, so a lone text may stay out.
+        assert (got != parent).sum() <= 1
+        counts.append(len(found))
+    assert counts[1] <= 20 * 600 and counts[1] <= 3 * counts[0] + 60
