@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from profuse.llm import hilbert, htmltext, itq, langid, linerules, mixing, packing, pii, simhash, urlfilter
-from profuse.llm.common import table
+from profuse.llm import hilbert, htmltext, itq, langid, linerules, mixing, packing, pii, simhash, spotsigs, squares, urlfilter, whitening
+from profuse.llm.common import let, table, text_of, words
 
 HELD_OUT = 5
 
@@ -64,8 +64,47 @@ def op10_url_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def planted_text() -> Column:
+    """The text, or for one document in ten (by the checksum of its key) its words with a planted period."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    g = F.floor(h / 10)
+
+    def periodic(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        moved = F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int"))))
+        return F.when(n > 0, F.array_join(moved, " ")).otherwise(F.lit(""))
+
+    return F.when(h % 10 == 0, let(words(text_of()), periodic)).otherwise(text_of())
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted_text().alias("text"))
+    found = squares.find_runs(docs, "doc_id")
+    # By start and period, so of equal exponents the first stays.
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    more = lambda a, b: a.isNull() | (b["length"] * a["period"] > a["length"] * b["period"])
+    best = F.aggregate("runs", none, lambda a, b: F.when(more(a, b), b).otherwise(a))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.withColumn("best", best)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_next(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_itq, op3_language, op4_line_blocks, op5_pii, op6_hilbert, op7_line_rules, op8_packing, op9_mixing, op10_url_terms)}
+    op1_simhash, op2_itq, op3_language, op4_line_blocks, op5_pii, op6_hilbert, op7_line_rules, op8_packing, op9_mixing, op10_url_terms,
+    op11_periodic_runs, op12_spotsigs, op13_whitening)}
 
 
 def _rule_sql() -> str:
