@@ -280,6 +280,113 @@ def _candidates(df: DataFrame, fits: list[LowRankMap | None], kernels: Sequence[
     return [np.array(f) if f else np.zeros((0, 0)) for f in found]
 
 
+def _trials(df: DataFrame, pivots, fits, kernels: Sequence[Kernel], ahead: int, key: str, x: str) -> list[tuple[int, np.ndarray, LowRankMap]]:
+    """(kernel, pivots with one more, factor with one more column) of every candidate."""
+    trials = []
+    for q, rows in enumerate(_candidates(df, fits, kernels, ahead, key, x)):
+        for row in rows:
+            grown = row[None] if pivots[q] is None else np.vstack([pivots[q], row])
+            trials.append((q, grown, cholesky_map(kernels[q], grown)))
+    return trials
+
+
+@dataclass
+class LeastAngle:
+    """State of least-angle regression on unit columns: active columns in order of entry, and their weights."""
+
+    active: list[int]
+    weights: np.ndarray
+
+    def advance(self, gram: np.ndarray, cy: np.ndarray, candidates: Sequence[int], lam: float) -> tuple[int | None, float]:
+        """Moves along the bisector until a candidate has the correlation of the active columns; (it, that correlation).
+
+        ``gram`` and ``cy`` are the products of the unit columns with each other and
+        with the response.  The direction lowers all active correlations in
+        proportion, which is the bisector when they are equal.  A candidate that
+        correlates more already joins without a step.  Without candidates the step
+        is a whole one, which ends at the (ridge) least squares of the active columns.
+        """
+        a = self.active
+        inner = gram[np.ix_(a, a)] + lam * np.eye(len(a))
+        own = cy[a] - inner @ self.weights
+        rest = np.array([j for j in candidates if j not in a], dtype=int)
+        if not a:
+            top = rest[np.argmax(np.abs(cy[rest]))] if len(rest) else None
+            if top is None:
+                return None, 0.0
+            self._join(int(top))
+            return int(top), float(abs(cy[top]))
+        level, direction = float(np.abs(own).max()), np.linalg.solve(inner, own)
+        step, best = 1.0, None
+        if len(rest):
+            c = cy[rest] - gram[np.ix_(rest, a)] @ self.weights
+            slope = gram[np.ix_(rest, a)] @ direction
+            with np.errstate(divide="ignore", invalid="ignore"):
+                steps = np.stack([(level - c) / (level - slope), (level + c) / (level + slope)])
+            steps[~np.isfinite(steps) | (steps < 0) | (steps > 1)] = 2.0
+            steps = np.where(np.abs(c) >= level, 0.0, steps.min(axis=0))
+            k = int(np.argmin(steps))
+            if steps[k] <= 1.0:
+                step, best = float(steps[k]), int(rest[k])
+        self.weights = self.weights + step * direction
+        if best is not None:
+            self._join(best)
+        return best, float((1.0 - step) * level)
+
+    def _join(self, column: int) -> None:
+        self.active.append(column)
+        self.weights = np.append(self.weights, 0.0)
+
+
+def least_angle_kernels(df: DataFrame, kernels: Sequence[Kernel], rank: int = 15, lam: float = 0.0, ahead: int = 10,
+                        key: str = "sample_id", x: str = "x") -> KernelPath:
+    """Least-angle multiple-kernel learning: ``rank`` columns across all kernels, then the whole step on them.
+
+    A column is the next one of a kernel's partial Cholesky factor, centred and of
+    unit length; ``ahead`` pivots of largest residual diagonal are its candidates.
+    A step takes one pass for the candidates and one for the products of active
+    columns, candidates and response; bisector and step length follow on the driver
+    from that small matrix.  ``chosen`` holds the kernel and the correlation at entry.
+    """
+    pivots: list[np.ndarray | None] = [None] * len(kernels)
+    fits: list[LowRankMap | None] = [None] * len(kernels)
+    entered: list[tuple[int, int]] = []  # (kernel, column of its factor) in order of entry
+    weights, chosen = np.zeros(0), []
+    while True:
+        trials = _trials(df, pivots, fits, kernels, ahead, key, x) if len(entered) < rank else []
+        live = [q for q, f in enumerate(fits) if f is not None]
+        starts = dict(zip(live, np.cumsum([0, *[fits[q].rank for q in live]])))
+        used = sum(fits[q].rank for q in live)
+        if not used + len(trials):
+            break
+        check_width(used + len(trials), 1)
+        factors = [fits[q] for q in live]
+
+        def columns(m, factors=factors, trials=trials):
+            return np.hstack([*[f.features(m) for f in factors], *[t[2].features(m)[:, -1:] for t in trials]])
+
+        found = moments(df.withColumn("_c", vector_to_vector(columns, x)), x="_c")["all"]
+        gg, gy, _ = found.centred()
+        length = np.sqrt(np.maximum(np.diag(gg), 0.0))
+        # A candidate that is constant, or within the others of its kernel, has no direction.
+        alive = [used + k for k in range(len(trials)) if length[used + k] > 1e-6 * max(length.max(), 1e-300)]
+        unit = np.maximum(length, 1e-150)
+        state = LeastAngle([starts[q] + k for q, k in entered], weights)
+        best, level = state.advance(gg / np.outer(unit, unit), gy / unit, alive, lam)
+        weights = state.weights
+        if best is None:
+            break
+        q, pivots_q, fit = trials[best - used]
+        entered.append((q, fit.rank - 1))
+        pivots[q], fits[q] = pivots_q, fit
+        chosen.append((q, level))
+    coef = np.zeros(used)
+    for (q, k), w in zip(entered, weights):
+        coef[starts[q] + k] = w / unit[starts[q] + k]
+    intercept = found.mean_y - float(found.mean_x[:used] @ coef) if entered else 0.0
+    return KernelPath(KernelRidge(factors, LinearModel(coef, intercept), np.ones(len(factors))), chosen)
+
+
 def forward_kernels(df: DataFrame, kernels: Sequence[Kernel], rank: int = 15, lam: float = 0.0, ahead: int = 10,
                         key: str = "sample_id", x: str = "x") -> KernelPath:
     """Choose ``rank`` kernel columns by their correlation with the residual.
@@ -292,12 +399,7 @@ def forward_kernels(df: DataFrame, kernels: Sequence[Kernel], rank: int = 15, la
     fits: list[LowRankMap | None] = [None] * len(kernels)
     chosen: list[tuple[int, float]] = []
     for _ in range(rank):
-        options = _candidates(df, fits, kernels, ahead, key, x)
-        trials: list[tuple[int, np.ndarray, LowRankMap]] = []
-        for q, rows in enumerate(options):
-            for row in rows:
-                grown = row[None] if pivots[q] is None else np.vstack([pivots[q], row])
-                trials.append((q, grown, cholesky_map(kernels[q], grown)))
+        trials = _trials(df, pivots, fits, kernels, ahead, key, x)
         if not trials:
             break
         live = [f for f in fits if f is not None]

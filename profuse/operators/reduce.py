@@ -63,14 +63,124 @@ def signed(axes: np.ndarray) -> np.ndarray:
     return axes * np.where(top < 0, -1.0, 1.0)
 
 
-def fit_pca(df: DataFrame, n_components: int, x: str = "x") -> Components:
-    """Components of the centred rows from one Gram pass."""
+SOLVERS = ("full", "randomized", "arpack")
+
+
+def fit_pca(df: DataFrame, n_components: int, x: str = "x", svd_solver: str = "full", seed: int = 0) -> Components:
+    """Components of the centred rows.
+
+    ``full`` takes one Gram pass and is bounded in width; ``randomized`` sketches
+    the range of the covariance and ``arpack`` builds a Krylov space of it, both
+    from products with a few vectors, so that no p x p matrix exists anywhere.
+    """
+    if svd_solver not in SOLVERS:
+        raise ValueError(f"svd_solver is one of {', '.join(SOLVERS)}")
+    if svd_solver != "full":
+        rows = stored(df.select(F.col(x).alias("x")), "components")
+        product = _Spread(rows)
+        return (_sketch if svd_solver == "randomized" else _lanczos)(product, min(n_components, product.p), seed)
     m = moments(df.select(F.col(x).alias("x"), F.lit(0.0).alias("y")))["all"]
     values, vectors = np.linalg.eigh(m.centred()[0] / m.n)
     order = np.argsort(values)[::-1][:n_components]
     return Components(m.mean_x, signed(vectors[:, order]), values[order])
 
 
+class _Spread:
+    """The covariance of the rows as an operator: a product with p x l vectors is one scan with p x l sums."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        def totals(batches):
+            n, s = 0, 0.0
+            for batch in batches:
+                if batch.num_rows:
+                    m = matrix_of(batch.column("x"))
+                    n, s = n + len(m), s + m.sum(axis=0)
+            return {"n": np.array([[float(n)]]), "s": np.asarray(s)[None]} if n else {}
+
+        sums = sum_partials(rows, totals)
+        if not sums:
+            raise ValueError("no rows to take components of")
+        self.rows, self.n = rows, sums["n"][0, 0]
+        self.mean = sums["s"][0] / self.n
+        self.p = len(self.mean)
+
+    def times(self, vectors: np.ndarray) -> np.ndarray:
+        mean = self.mean
+
+        def partial(batches):
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    m = matrix_of(batch.column("x")) - mean
+                    part = m.T @ (m @ vectors)
+                    total = part if total is None else total + part
+            return {} if total is None else {"cv": total}
+
+        return sum_partials(self.rows, partial)["cv"] / self.n
+
+
+def _gaussian(rows: int, columns: int, seed: int) -> np.ndarray:
+    """Hashed normal numbers, the same on every run."""
+    ids = np.arange(rows * columns, dtype=np.uint64)
+    u, v = mixed_uniform(ids, 2 * seed), mixed_uniform(ids, 2 * seed + 1)
+    return (np.sqrt(-2.0 * np.log(1.0 - u)) * np.cos(2.0 * np.pi * v)).reshape(rows, columns)
+
+
+def _sketch(spread: _Spread, n: int, seed: int, extra: int = 10, passes: int = 30, tol: float = 1e-10) -> Components:
+    """Range sketch with power passes until the wanted variances stand still, then a small eigenproblem."""
+    basis = np.linalg.qr(_gaussian(spread.p, min(spread.p, n + extra), seed))[0]
+    last = np.zeros(n)
+    for _ in range(passes):
+        image = spread.times(basis)
+        small = basis.T @ image
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        found = values[::-1][:n]
+        if np.abs(found - last).max() <= tol * max(found[0], 1e-300):
+            break
+        last, before = found, basis
+        basis = np.linalg.qr(image)[0]
+    else:
+        basis = before
+    return Components(spread.mean, signed(basis @ turn[:, ::-1][:, :n]), found)
+
+
+def _lanczos(spread: _Spread, n: int, seed: int, tol: float = 1e-9, most: int = 300) -> Components:
+    """Lanczos with full reorthogonalisation; ends when the wanted pairs have small residuals.
+
+    A Krylov space that closes early is continued with a fresh vector, so equal
+    variances are found as often as they occur.
+    """
+    fresh = lambda k: _gaussian(spread.p, 1, seed + 1 + k)[:, 0]
+    basis, alpha, beta = np.zeros((spread.p, 0)), [], []
+    v = fresh(0)
+    v /= np.linalg.norm(v)
+    while True:
+        basis = np.column_stack([basis, v])
+        image = spread.times(v[:, None])[:, 0]
+        alpha.append(float(v @ image))
+        for _ in range(2):
+            image -= basis @ (basis.T @ image)
+        k, left = len(alpha), float(np.linalg.norm(image))
+        small = np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1)
+        values, turn = np.linalg.eigh(small)
+        values, turn = values[::-1], turn[:, ::-1]
+        scale = max(values[0], 1e-300)
+        closed = left <= 1e-12 * scale
+        if k == spread.p or (k >= min(spread.p, n + 2) and not closed and (left * np.abs(turn[-1, :n]) <= tol * scale).all()):
+            break
+        if k == most:
+            raise ValueError(f"no convergence in {most} passes")
+        if closed:
+            image = fresh(k)
+            for _ in range(2):
+                image -= basis @ (basis.T @ image)
+            beta.append(0.0)
+        else:
+            beta.append(left)
+        v = image / np.linalg.norm(image)
+    return Components(spread.mean, signed(basis @ turn[:, :n]), values[:n])
+
+
 # ---- non-negative factors ----------------------------------------------------
 
 @dataclass

@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from profuse.functions import scores
 from profuse.functions.kernels import Kernel, gamma_kernel
 from profuse.operators import evaluate, gram, kernels, linear, svm, tuning
+from profuse.plans.catalog_linear import PAIR_SQL, pair
 from profuse.plans.prepare import EARLY, design, with_folds
 from profuse.plans.registry import md5_hash, query, r, rounded
 from profuse.session import stored
@@ -189,6 +191,38 @@ def q8(spark, sf):
     return fit.transform(rows).select("sample_id", rounded("prediction").alias("prediction"))
 
 
+@query("q9_least_angle")
+def q9_least(spark, sf):
+    """Three profiles x seven kernels by least-angle steps: kernel and correlation at each column's entry, and the test error."""
+    rows, names = design(spark, sf)
+    specs = []
+    for profile in EARLY:
+        places = [i for i, n in enumerate(names) if n.startswith(profile + ":")]
+        specs += [(profile, Kernel(kind, params, places[0], places[-1] + 1)) for kind, params in SEVEN.items()]
+    path = kernels.least_angle_kernels(rows.filter(F.col("split") == "train"), [k for _, k in specs], rank=6, lam=0.923, ahead=4)
+    out = [(i, specs[q][0], str(specs[q][1].kind), level) for i, (q, level) in enumerate(path.chosen)]
+    scored = path.model.transform(rows).filter(F.col("split") == "test")
+    return spark.createDataFrame(out, "step int, profile string, kernel string, correlation double").crossJoin(
+        F.broadcast(scored.agg(scores.mse(F.col("y"), F.col("prediction")).alias("mse")))).select(
+        "step", "profile", "kernel", rounded("correlation", 4).alias("correlation"), rounded("mse", 4).alias("mse"))
+
+
+@query("q9_least_angle_pair", f"""WITH {PAIR_SQL}, s AS (
+  SELECT regr_sxy(y, x) / sqrt(regr_sxx(y, x)) AS c1, regr_sxy(y, x2) / sqrt(regr_sxx(y, x2)) AS c2, corr(x, x2) AS r FROM pair),
+o AS (SELECT *, CASE WHEN abs(c1) >= abs(c2) THEN 0 ELSE 1 END AS k, CASE WHEN abs(c1) >= abs(c2) THEN c1 ELSE c2 END AS a,
+             CASE WHEN abs(c1) >= abs(c2) THEN c2 ELSE c1 END AS b FROM s),
+g AS (SELECT *, (abs(a) - b) / (abs(a) - r * a) AS g1, (abs(a) + b) / (abs(a) + r * a) AS g2 FROM o),
+t AS (SELECT *, least(CASE WHEN g1 BETWEEN 0 AND 1 THEN g1 ELSE 2 END, CASE WHEN g2 BETWEEN 0 AND 1 THEN g2 ELSE 2 END) AS step FROM g)
+SELECT 0 AS step, k AS kernel, {r('abs(a)', 4)} AS correlation FROM t
+UNION ALL SELECT 1 AS step, 1 - k AS kernel, {r('(1 - step) * abs(a)', 4)} AS correlation FROM t""")
+def q9_pair(spark, sf):
+    """Two linear kernels of one column each: entry order and correlations have a closed form."""
+    rows = pair(spark, sf, True).withColumn("sample_id", F.col("k").cast("string"))
+    path = kernels.least_angle_kernels(rows, [Kernel("linear", {}, 0, 1), Kernel("linear", {}, 1, 2)], rank=2, ahead=2)
+    out = [(i, q, level) for i, (q, level) in enumerate(path.chosen)]
+    return spark.createDataFrame(out, "step int, kernel int, correlation double").select("step", "kernel", rounded("correlation", 4).alias("correlation"))
+
+
 @query("q9_multiple_kernels")
 def q9(spark, sf):
     """Three profiles x seven kernels, columns picked across all of them."""

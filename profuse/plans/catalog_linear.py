@@ -256,17 +256,42 @@ def d2(spark, sf):
         "feature", rounded("inflation").alias("inflation"))
 
 
-@query("d4_two_components", f"""WITH {PAIR_SQL}, s AS (SELECT var_pop(x) AS a, var_pop(x2) AS d, covar_pop(x, x2) AS b, avg(x) AS mx, avg(x2) AS m2 FROM pair),
+COMPONENT_SQL = f"""WITH {PAIR_SQL}, s AS (SELECT var_pop(x) AS a, var_pop(x2) AS d, covar_pop(x, x2) AS b, avg(x) AS mx, avg(x2) AS m2 FROM pair),
 e AS (SELECT *, (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) AS l1 FROM s),
 v AS (SELECT *, b / sqrt(b * b + (l1 - a) ** 2) AS u1, (l1 - a) / sqrt(b * b + (l1 - a) ** 2) AS u2 FROM e),
 g AS (SELECT *, CASE WHEN abs(u1) >= abs(u2) THEN sign(u1) ELSE sign(u2) END AS sg FROM v)
-SELECT k, {r('sg * ((x - mx) * u1 + (x2 - m2) * u2)', 5)} AS pc1 FROM pair CROSS JOIN g""")
+SELECT k, {r('sg * ((x - mx) * u1 + (x2 - m2) * u2)', 5)} AS pc1 FROM pair CROSS JOIN g"""
+
+
+@query("d4_two_components", COMPONENT_SQL)
 def d4_two(spark, sf):
     rows = pair(spark, sf, True)
     model = reduce.fit_pca(rows, 1)
     return model.transform(rows).select("k", rounded(F.col("x")[0], 5).alias("pc1"))
 
 
+@query("d4_two_components_randomized", COMPONENT_SQL)
+def d4_two_sketch(spark, sf):
+    rows = pair(spark, sf, True)
+    model = reduce.fit_pca(rows, 1, svd_solver="randomized")
+    return model.transform(rows).select("k", rounded(F.col("x")[0], 5).alias("pc1"))
+
+
+@query("d4_two_components_arpack", COMPONENT_SQL)
+def d4_two_lanczos(spark, sf):
+    rows = pair(spark, sf, True)
+    model = reduce.fit_pca(rows, 1, svd_solver="arpack")
+    return model.transform(rows).select("k", rounded(F.col("x")[0], 5).alias("pc1"))
+
+
+@query("d4_solvers")
+def d4_solvers(spark, sf):
+    """Variances of the packed bundle's first eight components by each solver."""
+    rows = standin.bundle(spark, sf).select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    out = [(solver, k + 1, float(v)) for solver in reduce.SOLVERS for k, v in enumerate(reduce.fit_pca(rows, 8, svd_solver=solver).variances)]
+    return model_rows(spark, out, "solver string, component int, variance double").select("solver", "component", rounded("variance").alias("variance"))
+
+
 @query("d4_principal_components")
 def d4(spark, sf):
     rows, _ = design(spark, sf)

@@ -43,7 +43,7 @@ def reduced_late_integration(profiles: dict[str, DataFrame], method: str, space:
                 model = reduce.fit_nmf(train, n, alpha=setting.get("alpha", 0.0), l1_ratio=setting.get("l1_ratio", 0.0),
                                        rounds=options.get("rounds", 10))
             else:
-                model = reduce.fit_pca(train, n)
+                model = reduce.fit_pca(train, n, svd_solver=setting.get("svd_solver", "full"))
             reduced[name] = stored(model.transform(rows), "reduced")
         kept = {k: v for k, v in options.items() if k != "rounds"}
         scored, _ = ensemble.late_integration(reduced, **kept)
