@@ -13,10 +13,10 @@ from profuse.functions import scores
 from profuse.functions.kernels import gamma_kernel
 from profuse.operators import svm
 from profuse.operators.align import prediction_columns
-from profuse.operators.arrays import matrix_of, mixed_uniform, poisson_weights
+from profuse.operators.arrays import matrix_of, mixed_uniform, poisson_weights, vector_to_number
 from profuse.operators.gram import Moments, member_moments, moments, total_of
 from profuse.operators.kernels import LowRankMap, apply_maps, landmark_rows, nystrom
-from profuse.operators.linear import LinearModel
+from profuse.operators.linear import LinearModel, elastic_net, ridge
 from profuse.operators.rank import block_of, key_rank
 from profuse.session import stored
 
@@ -149,21 +149,96 @@ class Tuned:
 
 def tune_tubes(train: DataFrame, grid: dict, folds: Sequence[int], fold: str = "tune", rank: int = 30, epsilon: float = 0.1,
                seed: int = 0, x: str = "x", passes: int = 15) -> Tuned:
-    """Cross-validated search; every C and fold of a kernel is fitted in the same passes."""
+    """Cross-validated search; every kernel, C and fold is fitted in the same passes."""
     tubes = [svm.Tube(float(c), epsilon) for c in grid["C"]]
-    marks = landmark_rows(train, rank, seed, x=x)
-    best: Tuned | None = None
-    for kind, gamma, degree, coef0 in kernel_settings(grid):
-        mapping, source, column = None, train, x
-        if kind != "linear":
-            mapping = nystrom(train, gamma_kernel(kind, gamma, degree, coef0), rank, landmarks=marks)
-            source, column = stored(apply_maps(train, [mapping], x, "_g").select("sample_id", "_g", "y", fold), "mapped"), "_g"
-        fits = svm.fit_tubes(source, tubes, folds, column, fold=fold, passes=passes)
-        for s, score in svm.tube_scores(source, fits, folds, column, fold=fold).items():
-            if best is None or score > best.score:
-                params = {"kernel": kind, "C": tubes[s].c, "gamma": gamma, "degree": degree, "coef0": coef0}
-                best = Tuned(mapping, tubes[s], params, float(score), fits[s, 0])
-    return best
+    kinds = kernel_settings(grid)
+    panels = svm.fit_kernel_tubes(train, kernel_maps(train, kinds, rank, seed, x), tubes, folds, x, fold=fold, passes=passes)
+    scores = np.array(svm.panel_scores(train, panels, folds, x, fold=fold))
+    i, s = np.unravel_index(int(scores.argmax()), scores.shape)
+    return Tuned(panels[i].mapping, tubes[s], kernel_params(kinds[i], tubes[s]), float(scores[i, s]), panels[i].model(s))
+
+
+def kernel_maps(train: DataFrame, kinds: Sequence[tuple], rank: int, seed=0, x: str = "x") -> list[LowRankMap | None]:
+    """A low-rank map per kernel setting on shared landmarks; the linear kernel needs none."""
+    marks = landmark_rows(train, rank, seed, x=x) if any(kind[0] != "linear" for kind in kinds) else None
+    return [None if kind == "linear" else nystrom(train, gamma_kernel(kind, gamma, degree, coef0), rank, landmarks=marks)
+            for kind, gamma, degree, coef0 in kinds]
+
+
+def kernel_params(kind: tuple, tube: svm.Tube) -> dict:
+    return {"kernel": kind[0], "C": tube.c, "gamma": kind[1], "degree": kind[2], "coef0": kind[3]}
+
+
+# ---- voting search -----------------------------------------------------------
+
+# Axes of the support-vector base of voting and stacking.
+VOTING_GRID = {"kernel": ["linear", "poly", "rbf", "sigmoid"], "C": [0.1, 1, 3, 10, 20], "degree": [2, 4, 6, 8], "gamma": [0.001, 0.05, 0.01, 0.1, 1, 100]}
+
+
+@dataclass
+class Vote:
+    """Mean of the predictions of one model per base."""
+
+    members: list[tuple[LowRankMap | None, LinearModel]]
+
+    def predict(self, m: np.ndarray) -> np.ndarray:
+        each = [(m if mapping is None else mapping.features(m)) @ model.coef + model.intercept for mapping, model in self.members]
+        return np.mean(each, axis=0)
+
+    def transform(self, df: DataFrame, x: str = "x", out: str = "prediction") -> DataFrame:
+        return df.withColumn(out, vector_to_number(self.predict, x))
+
+
+def gram_panel(parts: dict[str, Moments], solver: Callable[..., LinearModel], settings: Sequence[dict], mapping: LowRankMap | None = None) -> svm.Panel:
+    """Fold models of every setting of a Gram-solvable base; ``parts`` are moments by fold."""
+    whole = total_of(parts)
+
+    def columns(m: Moments) -> np.ndarray:
+        fits = [solver(m, **s) for s in settings]
+        return np.column_stack([np.r_[fit.intercept, fit.coef] for fit in fits])
+
+    return svm.Panel(mapping, list(settings), {int(f): columns(whole - m) for f, m in parts.items()}, columns(whole))
+
+
+def vote_scores(train: DataFrame, bases: Sequence[Sequence[svm.Panel]], folds: Sequence[int], x: str = "x", fold: str = "fold") -> np.ndarray:
+    """Mean R2 over folds of the mean prediction, for every choice of one setting per base; axis b runs over the settings of base b.
+
+    All predictions are compared in one scan, whatever the number of choices.
+    Choices without finite predictions get -inf.
+    """
+    found = svm.residual_moments(train, [p for base in bases for p in base], folds, x, fold=fold)
+    sizes = [sum(len(p.settings) for p in base) for base in bases]
+    edges = np.cumsum([0, *sizes])
+    total = np.zeros(sizes)
+    for ee, yy in found.values():
+        sse = np.zeros(sizes)
+        for a in range(len(bases)):
+            for b in range(len(bases)):
+                block = ee[edges[a]:edges[a + 1], edges[b]:edges[b + 1]]
+                shape = [1] * len(bases)
+                shape[a], shape[b] = sizes[a], sizes[b]
+                sse = sse + (np.diagonal(block) if a == b else block if a < b else block.T).reshape(shape)
+        total += 1.0 - sse / len(bases) ** 2 / max(yy, 1e-300)
+    return np.nan_to_num(total / len(found), nan=-np.inf)
+
+
+def voting_search(train: DataFrame, grid: dict = VOTING_GRID, folds: Sequence[int] = range(1, 11), rank: int = 30, epsilon: float = 0.1,
+                  fold: str = "fold", seed=0, x: str = "x", passes: int = 15) -> tuple[Vote, list[dict], np.ndarray]:
+    """Voting of support vectors, ridge, elastic net and kernel ridge, searched over the support vectors' grid.
+
+    The last three keep their default settings.  Returns the vote of the best
+    setting refitted on all rows, every setting and its score.
+    """
+    tubes, kinds = [svm.Tube(float(c), epsilon) for c in grid["C"]], kernel_settings(grid)
+    tuned = svm.fit_kernel_tubes(train, kernel_maps(train, kinds, rank, seed, x), tubes, folds, x, fold=fold, passes=passes)
+    plain = moments(train, fold, x)
+    kernel = nystrom(train, gamma_kernel("linear", 1.0), rank, landmarks=landmark_rows(train, rank, seed, x=x))
+    fixed = [gram_panel(plain, ridge, [{"alpha": 1.0}]), gram_panel(plain, elastic_net, [{"alpha": 1.0, "l1_ratio": 0.5}]),
+             gram_panel(moments(apply_maps(train, [kernel], x, "_g"), fold, "_g"), ridge, [{"alpha": 1.0}], kernel)]
+    scores = vote_scores(train, [tuned, *[[p] for p in fixed]], folds, x, fold).ravel()
+    best, each = int(scores.argmax()), len(tubes)
+    vote = Vote([(p.mapping, p.model(s)) for p, s in [(tuned[best // each], best % each), *[(p, 0) for p in fixed]]])
+    return vote, [kernel_params(kind, tube) for kind in kinds for tube in tubes], scores
 
 
 # ---- stacking ----------------------------------------------------------------

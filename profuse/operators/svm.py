@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from profuse.operators.arrays import matrix_of, mixed_uniform, numbers_of, poisson_weights, row_hash, sum_partials
 from profuse.operators.gram import check_width
+from profuse.operators.kernels import LowRankMap
 from profuse.operators.linear import LinearModel
 
 
@@ -113,3 +114,153 @@ def tube_scores(df: DataFrame, models: dict[tuple[int, int], LinearModel], folds
     sums = sum_partials(source, partial)
     scores = np.array([1.0 - v[0, 3:] / max(v[0, 2] - v[0, 1] ** 2 / v[0, 0], 1e-300) for v in sums.values()])
     return dict(zip(settings, scores.mean(axis=0)))
+
+
+# ---- many kernels in the same passes -----------------------------------------
+
+@dataclass
+class Panel:
+    """Models on one kernel's features, or on the plain vector: a column (intercept, coefficients) per setting."""
+
+    mapping: LowRankMap | None
+    settings: list[dict]
+    folds: dict[int, np.ndarray]
+    whole: np.ndarray
+
+    def features(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.ones(len(x)), x if self.mapping is None else self.mapping.features(x)])
+
+    def model(self, setting: int, fold: int = 0) -> LinearModel:
+        beta = (self.folds[fold] if fold else self.whole)[:, setting]
+        return LinearModel(beta[1:].copy(), float(beta[0]), self.settings[setting])
+
+
+def fit_kernel_tubes(df: DataFrame, maps: Sequence[LowRankMap | None], tubes: Sequence[Tube], folds: Sequence[int] = (), x: str = "x", y: str = "y",
+                     fold: str = "fold", passes: int = 15, tol: float = 1e-5, floor: float = 1e-4) -> list[Panel]:
+    """A panel per kernel map (None: the plain vector); every map, tube and fold advances in the same scan.
+
+    Features are recomputed in the scan, so nothing is written per kernel. A map
+    whose models have all settled takes no part in later passes. Settings of a
+    panel are those of ``tubes``.
+    """
+    groups = [*folds, 0]
+    jobs = [(tube, g) for tube in tubes for g in groups]
+    source = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), (F.col(fold).cast("int") if folds else F.lit(-1)).alias("f"))
+    betas: dict[int, np.ndarray] = {}
+    last = {i: np.full(len(jobs), np.inf) for i in range(len(maps))}
+    active = list(range(len(maps)))
+    for step in range(passes):
+        task = [(i, maps[i], betas.get(i)) for i in active]
+        sums = sum_partials(source, lambda batches, task=task: _kernel_pass(batches, task, jobs, floor))
+        for i in list(active):
+            new, value = _solve_jobs(sums[str(i)])
+            if i in betas:
+                value = value + 0.5 * (betas[i][1:] ** 2).sum(axis=0)
+                if step > 1 and not bool((last[i] - value > tol * np.maximum(np.abs(value), 1e-300)).any()):
+                    active.remove(i)
+                    continue
+                last[i] = value
+            betas[i] = new
+        if not active:
+            break
+    names = [{"C": tube.c, "epsilon": tube.epsilon} for tube in tubes]
+    at = {g: [j for j, (_, group) in enumerate(jobs) if group == g] for g in groups}
+    return [Panel(m, names, {f: betas[i][:, at[f]] for f in folds}, betas[i][:, at[0]]) for i, m in enumerate(maps)]
+
+
+def _solve_jobs(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions and losses from rows [upper triangle of the Gram, right-hand side, loss], one row per job."""
+    width = int((np.sqrt(9 + 8 * (sums.shape[1] - 1)) - 3) / 2 + 0.5)  # w (w + 1) / 2 + w entries
+    upper = np.triu_indices(width)
+    gram = np.zeros((len(sums), width, width))
+    gram[:, upper[0], upper[1]] = gram[:, upper[1], upper[0]] = sums[:, :len(upper[0])]
+    gram[:, range(width), range(width)] += np.r_[1e-12, np.ones(width - 1)]
+    # Unit diagonal first: kernels of high degree spread over many orders of magnitude.
+    scale = 1.0 / np.sqrt(np.maximum(np.einsum("jii->ji", gram), 1e-300))
+    scaled = gram * scale[:, :, None] * scale[:, None, :]
+    right = sums[:, len(upper[0]):-1] * scale
+    sound = np.isfinite(scaled).all(axis=(1, 2)) & np.isfinite(right).all(axis=1)
+    beta = np.full((len(sums), width), np.nan)
+    if sound.any():
+        beta[sound] = np.einsum("jab,jb->ja", np.linalg.pinv(scaled[sound], rcond=1e-13, hermitian=True), right[sound]) * scale[sound]
+    return beta.T, sums[:, -1]
+
+
+def _kernel_pass(batches, task, jobs, floor: float) -> dict[str, np.ndarray]:
+    """One task's sums of every map: a row per job (see ``_solve_jobs``)."""
+    out: dict[str, np.ndarray] = {}
+    c, e = (np.array([getattr(tube, name) for tube, _ in jobs]) for name in ("c", "epsilon"))
+    left_out = np.array([g for _, g in jobs])
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        xs, ys = matrix_of(batch.column("x")), numbers_of(batch.column("y"))[:, None]
+        fold = batch.column("f").to_numpy()[:, None]
+        case = ((left_out == 0) | (fold != left_out)).astype(np.float64)
+        for i, mapping, beta in task:
+            z = np.column_stack([np.ones(len(xs)), xs if mapping is None else mapping.features(xs)])
+            check_width(z.shape[1] - 1, len(jobs) * len(task))
+            gap = ys - (z @ beta if beta is not None else np.zeros((1, len(jobs))))
+            if beta is None:
+                u = v = 0.5 * c * case
+            else:
+                u = 0.5 * c * case / np.maximum(np.abs(gap - e), floor)
+                v = 0.5 * c * case / np.maximum(np.abs(gap + e), floor)
+            a, b = np.triu_indices(z.shape[1])
+            loss = (c * case * np.maximum(np.abs(gap) - e, 0.0)).sum(axis=0)
+            sums = np.column_stack([(u + v).T @ (z[:, a] * z[:, b]), (u * (ys - e) + v * (ys + e)).T @ z, loss])
+            out[str(i)] = out.get(str(i), 0.0) + sums
+    return out
+
+
+def residual_moments(df: DataFrame, panels: Sequence[Panel], folds: Sequence[int], x: str = "x", y: str = "y",
+                     fold: str = "fold") -> dict[int, tuple[np.ndarray, float]]:
+    """(E'E, centred y'y) per fold, E holding the residuals of all settings of all panels on rows they have not seen.
+
+    One scan. The error of any mean of predictions is a sum of entries of E'E,
+    since its residual is the mean of theirs.
+    """
+    columns = sum(len(p.settings) for p in panels)
+    check_width(columns, len(folds))
+    source = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.col(fold).cast("int").alias("f"))
+
+    def partial(batches):
+        out: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            xs, ys, fs = matrix_of(batch.column("x")), numbers_of(batch.column("y")), batch.column("f").to_numpy()
+            for f in folds:
+                mine = fs == f
+                if mine.any():
+                    gaps = np.hstack([ys[mine][:, None] - p.features(xs[mine]) @ p.folds[f] for p in panels])
+                    z = np.column_stack([np.ones(len(gaps)), ys[mine], gaps])
+                    out[str(f)] = out.get(str(f), 0.0) + z.T @ z
+        return out
+
+    sums = sum_partials(source, partial)
+    return {int(f): (m[2:, 2:], float(m[1, 1] - m[0, 1] ** 2 / m[0, 0])) for f, m in sums.items()}
+
+
+def panel_scores(df: DataFrame, panels: Sequence[Panel], folds: Sequence[int], x: str = "x", y: str = "y", fold: str = "fold") -> list[np.ndarray]:
+    """Mean R2 over folds of every setting of every panel, from one scan; settings without finite predictions get -inf."""
+    source = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.col(fold).cast("int").alias("f"))
+
+    def partial(batches):
+        out: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            xs, ys, fs = matrix_of(batch.column("x")), numbers_of(batch.column("y")), batch.column("f").to_numpy()
+            for f in folds:
+                mine = fs == f
+                if mine.any():
+                    gaps = [((ys[mine][:, None] - p.features(xs[mine]) @ p.folds[f]) ** 2).sum(axis=0) for p in panels]
+                    head = [mine.sum(), ys[mine].sum(), (ys[mine] ** 2).sum()]
+                    out[str(f)] = out.get(str(f), 0.0) + np.concatenate([head, *gaps])[None]
+        return out
+
+    sums = [v[0] for v in sum_partials(source, partial).values()]
+    mean = np.mean([1.0 - v[3:] / max(v[2] - v[1] ** 2 / v[0], 1e-300) for v in sums], axis=0)
+    edges = np.cumsum([0, *[len(p.settings) for p in panels]])
+    return [np.nan_to_num(mean[a:b], nan=-np.inf) for a, b in zip(edges[:-1], edges[1:])]

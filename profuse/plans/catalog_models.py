@@ -235,6 +235,39 @@ def e4(spark, sf):
     return mse_of(scored.withColumn("prediction", ensemble.row_mean(list(bases))), 5)
 
 
+VOTE_ALPHAS = ((0.1, 10.0, 1000.0, 100000.0), (1.0, 10000.0))
+
+
+def _values(numbers) -> str:
+    return ", ".join(f"({n}::double)" for n in numbers)
+
+
+@query("e4_voting_search_line", f"""WITH {PAIR_SQL}, f AS (SELECT *, ntile(10) OVER (ORDER BY k) AS fold FROM pair),
+s AS (SELECT g.fold, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy FROM f JOIN range(1, 11) AS g(fold) ON f.fold <> g.fold GROUP BY g.fold),
+c AS (SELECT fold, a, b, mx, my, (sxy / (sxx + a) + sxy / (sxx + b)) / 2 AS slope FROM s CROSS JOIN (VALUES {_values(VOTE_ALPHAS[0])}) AS p(a) CROSS JOIN (VALUES {_values(VOTE_ALPHAS[1])}) AS q(b)),
+e AS (SELECT a, b, f.fold, 1 - sum((y - my - (x - mx) * slope) ** 2) / regr_syy(y, x) AS r2 FROM f JOIN c USING (fold) GROUP BY a, b, f.fold)
+SELECT a AS first, b AS second, {r('avg(r2)')} AS r2 FROM e GROUP BY a, b""")
+def e4_search_line(spark, sf):
+    """Every choice of two ridge penalties that vote, scored by ten folds in one scan."""
+    rows = stored(folded(spark, sf), "voting")
+    parts = gram.moments(rows, "fold")
+    bases = [[ensemble.gram_panel(parts, linear.ridge, [{"alpha": a} for a in alphas])] for alphas in VOTE_ALPHAS]
+    scores = ensemble.vote_scores(rows, bases, range(1, 11))
+    found = [(a, b, float(scores[i, j])) for i, a in enumerate(VOTE_ALPHAS[0]) for j, b in enumerate(VOTE_ALPHAS[1])]
+    return model_rows(spark, found, "first double, second double, r2 double").select("first", "second", rounded("r2").alias("r2"))
+
+
+@query("e4_voting_search")
+def e4_search(spark, sf):
+    """The whole grid with ten folds: score of every distinct setting, and the test error of the best."""
+    rows, _ = design(spark, sf, folds=10)
+    vote, settings, scores = ensemble.voting_search(train_of(rows))
+    test = mse_of(vote.transform(rows), 4).first()[0]
+    best = int(scores.argmax())
+    found = [(tuning.params_text(s), float(v), float(test) if i == best else None) for i, (s, v) in enumerate(zip(settings, scores))]
+    return model_rows(spark, found, "params string, cv_r2 double, test_mse double").select("params", rounded("cv_r2", 4).alias("cv_r2"), "test_mse")
+
+
 def _whole_column(models: ensemble.FoldModels):
     beta, bias, mapping = models.whole.coef, models.whole.intercept, models.mapping
     return vector_to_number(lambda m: (m if mapping is None else mapping.features(m)) @ beta + bias)
