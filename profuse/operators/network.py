@@ -237,18 +237,37 @@ class Network:
 
 @dataclass
 class Job:
-    """One network to train: rows of fold ``left_out`` are kept out (0: none)."""
+    """One network to train: rows of fold ``left_out`` are kept out (0: none).
+
+    With ``patience`` a hashed share ``hold`` of the other rows validates instead
+    of training: training ends when their error has not fallen by ``tol`` (as a
+    share) for so many epochs, and the network keeps the weights of its best epoch.
+    """
 
     net: Network
     epochs: int = 10
     left_out: int = 0
     rate: float = 1e-3
     seed: int = 0
+    patience: int = 0
+    hold: float = 0.1
+    tol: float = 1e-4
     losses: list[float] = field(default_factory=list)
+    curve: list[float] = field(default_factory=list)  # validation error before epoch 0, 1, ...
+    best_epoch: int = 0
+    best: list[np.ndarray] | None = None
+    stopped: bool = False
     first: list[np.ndarray] | None = None
     second: list[np.ndarray] | None = None
     steps: int = 0
 
+    def judge(self, epoch: int, error: float) -> None:
+        """Takes the validation error of the weights after ``epoch`` epochs."""
+        self.curve.append(error)
+        if self.best is None or error < self.curve[self.best_epoch] * (1.0 - self.tol):
+            self.best, self.best_epoch = list(self.net.weights), epoch
+        self.stopped = not np.isfinite(error) or epoch - self.best_epoch >= self.patience
+
     def adam(self, grads: list[np.ndarray], b1: float = 0.9, b2: float = 0.999, eps: float = 1e-7) -> None:
         if self.first is None:
             self.first = [np.zeros_like(w) for w in grads]
@@ -263,24 +282,45 @@ class Job:
         self.net.weights = new
 
 
-def train(df: DataFrame, jobs: Sequence[Job], batches: int = 1, x: str = "x", y: str = "y", fold: str | None = None) -> Sequence[Job]:
-    """Synchronous training of all jobs; an epoch has ``batches`` steps on hashed parts of the rows."""
-    source = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), row_hash(0).alias("h"),
+def train(df: DataFrame, jobs: Sequence[Job], batches: int = 1, x: str = "x", y: str = "y", fold: str | None = None,
+          key: str = "sample_id", validate: int | None = None) -> Sequence[Job]:
+    """Synchronous training of all jobs; an epoch has ``batches`` steps on hashed parts of the rows.
+
+    The first step of an epoch also sums the validation errors of the jobs that
+    stop early, so they cost no scan but one after the last epoch. The rows of fold
+    ``validate``, if given, take the place of their hashed shares.
+    """
+    source = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), row_hash(0, key).alias("h"),
                        (F.col(fold).cast("int") if fold else F.lit(-1)).alias("f"))
-    for epoch in range(max(job.epochs for job in jobs)):
-        active = [(i, job) for i, job in enumerate(jobs) if epoch < job.epochs]
+    for epoch in range(max(job.epochs for job in jobs) + 1):
+        active = [(i, job) for i, job in enumerate(jobs) if not job.stopped and epoch < job.epochs + (job.patience > 0)]
         for part in range(batches):
-            task = [(i, job.net, job.left_out, job.seed) for i, job in active]
-            sums = sum_partials(source, lambda b, t=task, e=epoch, k=part: _gradients(b, t, e, k, batches))
-            for i, job in active:
-                if f"{i}.n" not in sums:
+            task = [(i, job.net, job.left_out, job.seed, job.hold if job.patience else 0.0, epoch < job.epochs)
+                    for i, job in active if not job.stopped and (part == 0 or epoch < job.epochs)]
+            if not task:
+                break
+            sums = sum_partials(source, lambda b, t=task, e=epoch, k=part: _gradients(b, t, e, k, batches, validate))
+            for i, *_, learns in task:
+                job = jobs[i]
+                if f"{i}.v" in sums:
+                    n, sse = sums[f"{i}.v"][0]
+                    job.judge(epoch, float(sse / n))
+                if job.stopped or not learns or f"{i}.n" not in sums:
                     continue
                 n, sse = sums[f"{i}.n"][0]
                 job.losses.append(float(sse / n))
                 job.adam([sums[f"{i}.{k}"] / n + 2.0 * job.net.l2 * w / n for k, w in enumerate(job.net.weights)])
+    for job in jobs:
+        if job.best is not None:
+            job.net.weights = job.best
     return jobs
 
 
+def held_out(base: np.ndarray, seed: int, share: float) -> np.ndarray:
+    """Rows that validate: a hashed share, the same in every pass and partitioning."""
+    return mixed_uniform(mixed_hash(base, seed), 104_729) < share
+
+
 def mean_gradient(df: DataFrame, net: Network, x: str = "x", y: str = "y") -> tuple[float, list[np.ndarray]]:
     """Mean squared error and its gradient over all rows, without dropout."""
     source = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"))
@@ -301,7 +341,7 @@ def mean_gradient(df: DataFrame, net: Network, x: str = "x", y: str = "y") -> tu
     return float(sse / n), [sums[str(k)] / n for k in range(len(net.weights))]
 
 
-def _gradients(batches, task, epoch: int, part: int, parts: int) -> dict[str, np.ndarray]:
+def _gradients(batches, task, epoch: int, part: int, parts: int, validate: int | None = None) -> dict[str, np.ndarray]:
     out: dict[str, np.ndarray] = {}
     for batch in batches:
         if batch.num_rows == 0:
@@ -309,9 +349,16 @@ def _gradients(batches, task, epoch: int, part: int, parts: int) -> dict[str, np
         xs, ys = matrix_of(batch.column("x")), numbers_of(batch.column("y"))
         base, fold = batch.column("h").to_numpy().view(np.uint64), batch.column("f").to_numpy()
         mine = np.floor(mixed_uniform(base, 7919 + epoch) * parts) == part
-        for i, net, left_out, seed in task:
-            use = mine & (fold != left_out) if left_out else mine
-            if not use.any():
+        for i, net, left_out, seed, hold, learns in task:
+            own = fold != left_out if left_out else np.ones(len(xs), dtype=bool)
+            if hold:
+                aside = held_out(base, seed, hold) if validate is None else fold == validate
+                checked, own = own & aside, own & ~aside
+                if part == 0 and checked.any():
+                    gap = net.predict(xs[checked]) - ys[checked]
+                    out[f"{i}.v"] = out.get(f"{i}.v", 0.0) + np.array([[checked.sum(), gap @ gap]])
+            use = own & mine
+            if not learns or not use.any():
                 continue
             rows = base[use]
 
@@ -329,11 +376,21 @@ def _gradients(batches, task, epoch: int, part: int, parts: int) -> dict[str, np
 
 def errors(df: DataFrame, jobs: Sequence[Job], x: str = "x", y: str = "y", fold: str | None = None) -> list[float]:
     """Mean squared error of every job, on its left-out fold or on all rows: one pass."""
+    return [float(row[3] / row[0]) for row in _fit_sums(df, jobs, x, y, fold)]
+
+
+def fold_scores(df: DataFrame, jobs: Sequence[Job], x: str = "x", y: str = "y", fold: str | None = None) -> list[float]:
+    """R2 of every job, on its left-out fold or on all rows: one pass."""
+    return [float(1.0 - sse / max(squares - total ** 2 / n, 1e-300)) for n, total, squares, sse in _fit_sums(df, jobs, x, y, fold)]
+
+
+def _fit_sums(df: DataFrame, jobs: Sequence[Job], x: str, y: str, fold: str | None) -> np.ndarray:
+    """Count, sum of y, sum of squares and squared error of every job's rows."""
     source = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), (F.col(fold).cast("int") if fold else F.lit(-1)).alias("f"))
     task = [(job.net, job.left_out) for job in jobs]
 
     def partial(batches):
-        total = np.zeros((len(task), 2))
+        total = np.zeros((len(task), 4))
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -341,11 +398,10 @@ def errors(df: DataFrame, jobs: Sequence[Job], x: str = "x", y: str = "y", fold:
             for i, (net, left_out) in enumerate(task):
                 use = fs == left_out if left_out else np.ones(len(xs), dtype=bool)
                 if use.any():
-                    total[i] += [use.sum(), ((net.predict(xs[use]) - ys[use]) ** 2).sum()]
+                    total[i] += [use.sum(), ys[use].sum(), (ys[use] ** 2).sum(), ((net.predict(xs[use]) - ys[use]) ** 2).sum()]
         return {"t": total}
 
-    total = sum_partials(source, partial)["t"]
-    return [float(s / n) for n, s in total]
+    return sum_partials(source, partial)["t"]
 
 
 # ---- fusion layouts ----------------------------------------------------------

@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from profuse.functions import scores
+from profuse.functions.hashing import seeded_hash
 from profuse.operators import evaluate, network, tuning
 from profuse.operators.arrays import vector_to_number
 from profuse.plans.catalog_linear import PAIR_SQL, model_rows, pair
 from profuse.plans.prepare import EARLY, design
-from profuse.plans.registry import query, r, rounded
+from profuse.plans.registry import md5_hash, query, r, rounded
 
 # A two-input layer with one unit and two experts.
 EXPERT_W, EXPERT_B = [[0.5, -0.25], [0.75, 0.1]], [0.1, 0.2]
@@ -39,6 +40,18 @@ def n2_gradient(spark, sf):
     return model_rows(spark, [row], ", ".join(f"{n} double" for n in names)).select(*[rounded(n).alias(n) for n in names])
 
 
+@query("l17_validation_curve", f"""WITH {PAIR_SQL}, v AS (SELECT x, y FROM pair WHERE {md5_hash(3, 'k')} % 10 = 0), t AS (SELECT x, y FROM pair WHERE {md5_hash(3, 'k')} % 10 <> 0)
+SELECT 0::bigint AS epoch, {r('avg(y * y)')} AS error FROM v
+UNION ALL SELECT 1, {r('avg((y - (0.01 * sign(s.xy) * x + 0.01 * sign(s.my))) ** 2)')} FROM v CROSS JOIN (SELECT avg(x * y) AS xy, avg(y) AS my FROM t) AS s""")
+def l17_curve(spark, sf):
+    """Validation errors of a linear unit from zero weights: before training and after its first step, whose size is the rate."""
+    rows = pair(spark, sf).withColumn("fold", F.when(seeded_hash(3, "k") % 10 == 0, 2).otherwise(1))
+    net = network.Network(network.Dense(network.Input("x"), 1), {"x": (0, 1)}, [np.zeros((1, 1)), np.zeros((1, 1))])
+    job = network.Job(net, 1, rate=0.01, patience=5)
+    network.train(rows, [job], fold="fold", key="k", validate=2)
+    return model_rows(spark, list(enumerate(job.curve)), "epoch long, error double").select("epoch", rounded("error").alias("error"))
+
+
 def blocks_of(names) -> dict:
     out = {"all": (0, len(names))}
     for profile in {n.split(":", 1)[0] for n in names}:
@@ -47,20 +60,20 @@ def blocks_of(names) -> dict:
     return out
 
 
-def _trained(name: str, layout, profiles=EARLY, epochs: int = 6, rate: float = 0.01):
-    """Train one layout and report the test error."""
+def _trained(name: str, layout, profiles=EARLY, epochs: int = 6, rate: float = 0.01, patience: int = 0):
+    """Train one layout and report the test error; ``patience`` stops it early."""
 
     @query(name)
     def run(spark, sf):
         rows, names = design(spark, sf, profiles)
-        job = network.Job(network.Network.build(layout(), blocks_of(names), 1), epochs, rate=rate)
+        job = network.Job(network.Network.build(layout(), blocks_of(names), 1), epochs, rate=rate, patience=patience)
         network.train(rows.filter(F.col("split") == "train"), [job])
         scored = job.net.transform(rows.filter(F.col("split") == "test"))
         return scored.agg(rounded(scores.mse(F.col("y"), F.col("prediction")), 4).alias("mse"))
     return run
 
 
-_trained("l17_feed_forward", lambda: network.perceptron("all", (20, 10), "tanh"))
+_trained("l17_feed_forward", lambda: network.perceptron("all", (100, 3), "tanh"), epochs=60, patience=10)
 _trained("n2_multi_input", lambda: network.one_stage(EARLY, units=8, head=8, depth=2, head_depth=2))
 _trained("n3_two_stage", lambda: network.two_stage(("spend", "mix"), "share", units=8, head=8, depth=2, head_depth=2, late_depth=2))
 _trained("n4_all_profiles", lambda: network.all_profiles(EARLY, 6, 0.2, "tanh", experts=3, depth=2))

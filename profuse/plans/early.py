@@ -63,10 +63,13 @@ def _kernel_ridge(df, kernel="rbf", alpha=1.0, gamma=0.05, degree=3, rank=30):
     return Mapped(mapping, kernels.kernel_ridge(df, [mapping], alpha).model)
 
 
-def _network(df, hidden=(100, 3), activation="relu", alpha=1e-4, epochs=20, rate=0.01):
-    width = len(df.select("x").first()[0])
-    net = network.Network.build(network.perceptron("all", hidden, activation), {"all": (0, width)}, l2=alpha)
-    network.train(df, [network.Job(net, epochs, rate=rate)])
+def _perceptron(width: int, hidden=(100, 3), activation="relu", alpha=1e-4):
+    return network.Network.build(network.perceptron("all", hidden, activation), {"all": (0, width)}, l2=alpha)
+
+
+def _network(df, hidden=(100, 3), activation="relu", alpha=1e-4, epochs=60, rate=0.01, patience=10):
+    net = _perceptron(gram.width_of(df), hidden, activation, alpha)
+    network.train(df, [network.Job(net, epochs, rate=rate, patience=patience)])
     return net
 
 
@@ -159,8 +162,26 @@ def search_tubes(rows: DataFrame, space: dict, folds: int) -> tuple[object, dict
     return found.whole if found.mapping is None else Mapped(found.mapping, found.whole), found.params, found.score
 
 
+def search_networks(rows: DataFrame, space: dict, folds: int, rate: float = 0.01, patience: int = 10) -> tuple[network.Network, dict, float]:
+    """Feed-forward networks: every setting and fold trains in the same passes and stops early on its own.
+
+    The networks fitted on all training rows take part too, so the best needs no refit.
+    """
+    train = rows.filter(F.col("fold") > 0)
+    width = gram.width_of(train)
+    epochs = space.get("epochs", [60])[0]
+    settings = parameter_grid({k: v for k, v in space.items() if k != "epochs"})
+    groups = [*range(1, folds + 1), 0]
+    jobs = [network.Job(_perceptron(width, **s), epochs, f, rate, patience=patience) for s in settings for f in groups]
+    network.train(train, jobs, fold="fold")
+    scores = np.array(network.fold_scores(train, [job for job in jobs if job.left_out], fold="fold")).reshape(len(settings), folds)
+    mean = np.nan_to_num(scores.mean(axis=1), nan=-np.inf)
+    best = int(mean.argmax())
+    return jobs[best * len(groups) + folds].net, {**settings[best], "epochs": epochs}, float(mean[best])
+
+
 # Families whose settings share scans; the others are searched setting by setting.
-SEARCHES: dict[str, Callable] = {"kernel_ridge": search_kernel_ridge, "knn": search_neighbours, "svr": search_tubes}
+SEARCHES: dict[str, Callable] = {"kernel_ridge": search_kernel_ridge, "knn": search_neighbours, "svr": search_tubes, "nn": search_networks}
 
 
 def leaderboard(rows: DataFrame, spaces: dict[str, dict], folds: int) -> list[tuple]:

@@ -54,3 +54,21 @@ def test_every_board_runs_from_its_space(rows):
     board = early.leaderboard(rows.withColumn("fold", rows["fold"] - 1), {
         "svr": {"kernel": ["linear"], "C": [1.0, 5.0], "passes": [8]}, "kernel_ridge": {"kernel": ["rbf"], "gamma": [0.05]}, "knn": {"k": [5]}}, 3)
     assert {name for name, *_ in board} == {"svr", "kernel_ridge", "knn"} and all(np.isfinite(mse) for *_, mse in board)
+
+
+def test_networks_of_all_settings_and_folds_train_together(rows):
+    space = {"hidden": [(4,), (3, 2)], "activation": ["tanh"], "alpha": [0.001], "epochs": [12]}
+    model, params, score = early.search_networks(rows, space, 4, rate=0.05)
+    found = {}
+    for hidden in space["hidden"]:
+        r2 = []
+        for f in range(1, 5):
+            net = early._network(rows.filter(rows["fold"] != f), hidden, "tanh", 0.001, 12, 0.05)
+            held = rows.filter(rows["fold"] == f).collect()
+            y = np.array([r["y"] for r in held])
+            r2.append(1 - ((net.predict(np.array([r["x"] for r in held])) - y) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+        found[hidden] = np.mean(r2)
+    assert params["hidden"] == max(found, key=found.get) and abs(score - max(found.values())) < 1e-9
+    whole = early._network(rows, params["hidden"], "tanh", 0.001, 12, 0.05)
+    for u, v in zip(model.weights, whole.weights):
+        np.testing.assert_allclose(u, v, atol=1e-9)

@@ -89,3 +89,45 @@ def test_training_is_partition_free_and_learns(spark, data):
     assert left == pytest.approx(((a[2].net.predict(x[held]) - y[held]) ** 2).mean())
     scored = a[1].net.transform(df).agg(F.avg(F.pow(F.col("y") - F.col("prediction"), 2))).first()[0]
     assert scored == pytest.approx(whole)
+
+
+def test_early_stopping_keeps_the_weights_of_the_turn(spark):
+    """Few noisy training rows: the validation error falls, turns and rises; training ends there."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60, 6))
+    y = x[:, 0] + rng.normal(size=60)
+    df = frame(spark, x, y)
+    layout = nw.perceptron("a", (30,), "tanh")
+
+    def job(**options):
+        return nw.Job(nw.Network.build(layout, {"a": (0, 6)}, 2), 80, rate=0.05, seed=5, hold=0.4, **options)
+
+    stopped, further = nw.train(df, [job(patience=6), job(patience=80)])
+    turn = stopped.best_epoch
+    assert 0 < turn < 70 and len(stopped.curve) == turn + 7 and stopped.stopped
+    assert min(stopped.curve) == stopped.curve[turn] and stopped.curve[-1] > stopped.curve[turn]
+    np.testing.assert_allclose(further.curve[:len(stopped.curve)], stopped.curve, atol=1e-9)
+    assert further.curve[-1] > 1.1 * further.curve[turn] and len(further.curve) == 81
+    assert stopped.losses[-1] < stopped.losses[0]
+    base = np.array([r["h"] for r in df.select("sample_id", nw.row_hash(0).alias("h")).orderBy(F.expr("int(substr(sample_id, 2))")).collect()], dtype=np.int64)
+    aside = nw.held_out(base.view(np.uint64), 5, 0.4)
+    assert ((stopped.net.predict(x[aside]) - y[aside]) ** 2).mean() == pytest.approx(stopped.curve[turn])
+    again = nw.train(df.repartition(5), [job(patience=6)])[0]
+    assert again.best_epoch == turn
+    np.testing.assert_allclose(again.curve, stopped.curve, atol=1e-9)
+    alone = nw.train(spark.createDataFrame(df.toPandas()[~aside]), [nw.Job(nw.Network.build(layout, {"a": (0, 6)}, 2), turn, rate=0.05, seed=5)])[0]
+    for u, v in zip(alone.net.weights, stopped.net.weights):
+        np.testing.assert_allclose(u, v, atol=1e-9)
+
+
+def test_validation_folds_and_left_out_folds(spark, data):
+    """A named fold validates; rows of the left-out fold neither train nor validate."""
+    x, y = data
+    df = frame(spark, x, y)
+    build = lambda: nw.Network.build(nw.perceptron("a", (4,), "tanh"), {"a": (0, 6)}, 1)
+    job = nw.train(df, [nw.Job(build(), 3, patience=9, rate=0.05)], fold="fold", validate=2)[0]
+    held = np.arange(len(x)) % 2 == 1
+    assert job.curve[0] == pytest.approx(((build().predict(x[held]) - y[held]) ** 2).mean()) and len(job.curve) == 4
+    both, only = nw.train(df, [nw.Job(build(), 4, left_out=1, patience=2)], fold="fold")[0], nw.train(
+        df.filter("fold = 2"), [nw.Job(build(), 4, patience=2)])[0]
+    np.testing.assert_allclose(both.curve, only.curve, atol=1e-9)
