@@ -296,7 +296,7 @@ def e5(spark, sf):
 def e6(spark, sf):
     out = None
     for name, rows in profile_rows(spark, sf).items():
-        part = ensemble.level0(rows, 5, 3, SMALL0, rank=20, passes=6).select(
+        part = ensemble.level0(rows).select(
             F.lit(name).alias("profile"), "sample_id", "split", rounded("prediction", 4).alias("prediction"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -304,8 +304,9 @@ def e6(spark, sf):
 
 @query("e7_late_integration")
 def e7(spark, sf):
-    scored, _ = ensemble.late_integration(profile_rows(spark, sf), **SMALL)
-    return mse_of(scored, 5)
+    """Both whole grids with ten folds: the second model's settings and the test error."""
+    scored, params = ensemble.late_integration(profile_rows(spark, sf))
+    return mse_of(scored, 5).select(F.lit(tuning.params_text(params)).alias("params"), "mse")
 
 
 @query("e8_late_integration_nmf")
