@@ -325,13 +325,13 @@ def e9(spark, sf):
 
 # ---- leaderboards ------------------------------------------------------------
 
-def _board(name: str, spaces: dict):
-    """Small grids with two folds; the full grids are in ``plans.early``."""
+def _board(name: str, spaces: dict, folds: int = 2):
+    """Families that are searched setting by setting run small grids; the full ones are in ``plans.early``."""
 
     @query(name)
     def run(spark, sf):
-        rows, _ = design(spark, sf, folds=2)
-        board = early.leaderboard(rows, spaces, 2)
+        rows, _ = design(spark, sf, folds=folds)
+        board = early.leaderboard(rows, spaces, folds)
         return model_rows(spark, board, tuning.LEADERBOARD_SCHEMA).select(
             "model", "params", rounded("cv_r2", 4).alias("cv_r2"), rounded("test_mse", 4).alias("test_mse"))
     return run
@@ -339,8 +339,8 @@ def _board(name: str, spaces: dict):
 
 _board("t7_robust_leaderboard", {"passive_aggressive": {"c": [0.1]}, "ransac": {"min_samples": [0.85]}, "huber": {}})
 _board("t7_nonlinear_leaderboard", {
-    "svr": {"kernel": ["linear"], "C": [1.0], "passes": [5]}, "knn": early.NONLINEAR["knn"], "gaussian_process": {},
-    "tree": {"max_depth": [2, 4]}, "kernel_ridge": early.NONLINEAR["kernel_ridge"], "nn": {"hidden": [(10, 3)], "activation": ["tanh"], "epochs": [5]}})
+    "svr": early.NONLINEAR["svr"], "knn": early.NONLINEAR["knn"], "gaussian_process": {}, "tree": {"max_depth": [2, 4]},
+    "kernel_ridge": early.NONLINEAR["kernel_ridge"], "nn": {**early.NONLINEAR["nn"], "epochs": [30]}}, folds=5)
 _board("t7_ensemble_leaderboard", {
     "random_forest": {"n_estimators": [10], "max_depth": [4]}, "bagging": {"n_estimators": [10], "bootstrap_features": [True, False]},
     "adaboost": {"rounds": [2]}})

@@ -9,6 +9,7 @@ from profuse.functions import scores
 from profuse.functions.hashing import seeded_hash
 from profuse.operators import evaluate, network, tuning
 from profuse.operators.arrays import vector_to_number
+from profuse.plans import early
 from profuse.plans.catalog_linear import PAIR_SQL, model_rows, pair
 from profuse.plans.prepare import EARLY, design
 from profuse.plans.registry import md5_hash, query, r, rounded
@@ -60,20 +61,28 @@ def blocks_of(names) -> dict:
     return out
 
 
-def _trained(name: str, layout, profiles=EARLY, epochs: int = 6, rate: float = 0.01, patience: int = 0):
-    """Train one layout and report the test error; ``patience`` stops it early."""
+def _trained(name: str, layout, profiles=EARLY, epochs: int = 6, rate: float = 0.01):
+    """Train one layout and report the test error."""
 
     @query(name)
     def run(spark, sf):
         rows, names = design(spark, sf, profiles)
-        job = network.Job(network.Network.build(layout(), blocks_of(names), 1), epochs, rate=rate, patience=patience)
+        job = network.Job(network.Network.build(layout(), blocks_of(names), 1), epochs, rate=rate)
         network.train(rows.filter(F.col("split") == "train"), [job])
         scored = job.net.transform(rows.filter(F.col("split") == "test"))
         return scored.agg(rounded(scores.mse(F.col("y"), F.col("prediction")), 4).alias("mse"))
     return run
 
 
-_trained("l17_feed_forward", lambda: network.perceptron("all", (100, 3), "tanh"), epochs=60, patience=10)
+@query("l17_feed_forward")
+def l17(spark, sf):
+    """A feed-forward network that stops early; its test error."""
+    rows, _ = design(spark, sf)
+    net = early.FITTERS["nn"](rows.filter(F.col("split") == "train"), (100, 3), "tanh")
+    scored = net.transform(rows.filter(F.col("split") == "test"))
+    return scored.agg(rounded(scores.mse(F.col("y"), F.col("prediction")), 4).alias("mse"))
+
+
 _trained("n2_multi_input", lambda: network.one_stage(EARLY, units=8, head=8, depth=2, head_depth=2))
 _trained("n3_two_stage", lambda: network.two_stage(("spend", "mix"), "share", units=8, head=8, depth=2, head_depth=2, late_depth=2))
 _trained("n4_all_profiles", lambda: network.all_profiles(EARLY, 6, 0.2, "tanh", experts=3, depth=2))

@@ -63,12 +63,15 @@ def _kernel_ridge(df, kernel="rbf", alpha=1.0, gamma=0.05, degree=3, rank=30):
     return Mapped(mapping, kernels.kernel_ridge(df, [mapping], alpha).model)
 
 
-def _perceptron(width: int, hidden=(100, 3), activation="relu", alpha=1e-4):
-    return network.Network.build(network.perceptron("all", hidden, activation), {"all": (0, width)}, l2=alpha)
+def _perceptron(width: int, start: float, hidden=(100, 3), activation="relu", alpha=1e-4):
+    """A feed-forward network whose output begins at ``start``, the mean response of its training rows."""
+    net = network.Network.build(network.perceptron("all", hidden, activation), {"all": (0, width)}, l2=alpha)
+    net.weights[-1] = np.full((1, 1), start)
+    return net
 
 
 def _network(df, hidden=(100, 3), activation="relu", alpha=1e-4, epochs=60, rate=0.01, patience=10):
-    net = _perceptron(gram.width_of(df), hidden, activation, alpha)
+    net = _perceptron(gram.width_of(df), df.agg(F.avg("y")).first()[0], hidden, activation, alpha)
     network.train(df, [network.Job(net, epochs, rate=rate, patience=patience)])
     return net
 
@@ -172,7 +175,9 @@ def search_networks(rows: DataFrame, space: dict, folds: int, rate: float = 0.01
     epochs = space.get("epochs", [60])[0]
     settings = parameter_grid({k: v for k, v in space.items() if k != "epochs"})
     groups = [*range(1, folds + 1), 0]
-    jobs = [network.Job(_perceptron(width, **s), epochs, f, rate, patience=patience) for s in settings for f in groups]
+    parts = {r["fold"]: np.array([r["n"], r["total"]]) for r in train.groupBy("fold").agg(F.count("y").alias("n"), F.sum("y").alias("total")).collect()}
+    sums = {f: sum(parts.values()) - parts.get(f, 0.0) for f in groups}
+    jobs = [network.Job(_perceptron(width, sums[f][1] / sums[f][0], **s), epochs, f, rate, patience=patience) for s in settings for f in groups]
     network.train(train, jobs, fold="fold")
     scores = np.array(network.fold_scores(train, [job for job in jobs if job.left_out], fold="fold")).reshape(len(settings), folds)
     mean = np.nan_to_num(scores.mean(axis=1), nan=-np.inf)
