@@ -2,8 +2,8 @@
 
 Each input partition is a run: its documents follow each other in their order,
 as one stream of token ids, and a dynamic programme chooses where windows end.
-Cuts are allowed at document ends, at sentence ends (small penalty) and, where
-those lie far apart, at fixed strides (larger penalty).  The cost of a window is
+Cuts are allowed at document ends, at sentence ends (small penalty) and, in a
+long sentence, at fixed strides (a penalty as large as 64 tokens of padding).  The cost of a window is
 its padding, which is linear in its two ends, so the best start of each window
 is the least element of a monotone queue.  What is left at the end of a run is
 cut into powers of two, which need no padding.
@@ -32,7 +32,7 @@ WINDOW = 2048
 END_OF_TEXT = 1
 STRIDE = 32
 STRETCH = 1 << 18
-SENTENCE_COST, STRIDE_COST = 4, 16
+SENTENCE_COST, STRIDE_COST = 4, 64
 PIECE = 1 << 20
 
 
@@ -40,14 +40,16 @@ class Encoder:
     """Ids of the byte-level vocabulary, and which ids may end or follow a sentence.
 
     ``ranks`` holds the same vocabulary as ``tokenizer``; its library gives the
-    same ids several times faster and is used unless it fails on a text.
+    same ids several times faster and is used unless it fails on a text or the
+    text holds the literal of a special token, which only the tokenizer maps to
+    its own id.
     """
 
     def __init__(self, tokenizer: str, ranks: str | None, pattern: str | None) -> None:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(tokenizer)
-        self.slow.encode_special_tokens = True
+        self.marks = tuple(t.content for t in self.slow.get_added_tokens_decoder().values())
         self.fast = None
         if ranks:
             import tiktoken
@@ -63,7 +65,7 @@ class Encoder:
             self.opens[k] = token.startswith(("Ġ", "Ċ"))
 
     def _encode(self, text: str) -> np.ndarray:
-        if self.fast is not None:
+        if self.fast is not None and not any(mark in text for mark in self.marks):
             try:
                 return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
             except Exception:  # noqa: BLE001 - the pattern engine gives up on some very long runs
@@ -87,7 +89,11 @@ class Encoder:
 
 
 def cut_costs(ids: np.ndarray, ends: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in tokens) where a document may be cut, ascending, and the penalty of each."""
+    """Positions (in tokens) where a document may be cut, ascending, and the penalty of each.
+
+    A stride inside a long sentence costs as much as 64 tokens of padding, so it
+    is taken only where no boundary lies near enough to the window's end.
+    """
     sentence = np.flatnonzero(ends[ids[:-1]] & opens[ids[1:]]) + 1
     sentence = sentence[sentence < len(ids)]
     marks = np.concatenate([[0], sentence, [len(ids)]])

@@ -15,7 +15,6 @@ FILES = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("by
 
 def plain_ids(texts):
     tokenizer = Tokenizer.from_file(FILES[0])
-    tokenizer.encode_special_tokens = True
     return [x.ids + [1] for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -68,6 +67,28 @@ def test_both_libraries_and_pieces_give_the_same_ids(spark, monkeypatch):
         assert all(encoder.ids(t).tolist() == w for t, w in zip(texts, want))
 
 
+def test_special_literals_have_the_tokenizers_own_id():
+    encoder = packing.Encoder(*FILES)
+    assert encoder.ids("a <|endoftext|> b").tolist() == [64, 220, 50256, 275, 1]
+    assert [encoder.ids("a <|endoftext|> b").tolist()] == plain_ids(["a <|endoftext|> b"])
+
+
+def test_boundaries_are_preferred_to_strides():
+    encoder = packing.Encoder(*FILES)
+    ids = encoder.ids("One two three four five. " * 3000)
+    at, cost = packing.cut_costs(ids, encoder.ends, encoder.opens)
+    assert set(cost.tolist()) == {0, packing.SENTENCE_COST} and all(encoder.ends[ids[k - 1]] for k in at[:-1])
+    # A sentence of 50 tokens offers a stride; a boundary less than 64 tokens off is taken nevertheless.
+    ids = encoder.ids(("word " * 49 + "end. ") * 300)
+    at, cost = packing.cut_costs(ids, encoder.ends, encoder.opens)
+    assert packing.STRIDE_COST in cost
+    cuts = packing.best_cuts(at.tolist(), cost.tolist())
+    assert len(cuts) > 5 and all(encoder.ends[ids[k - 1]] for k in cuts[:-1])
+    ids = encoder.ids("One two. " + "word " * 3000 + "end. Next one.")
+    at, _ = packing.cut_costs(ids, encoder.ends, encoder.opens)
+    assert np.diff(np.r_[0, at]).max() <= packing.STRIDE
+
+
 def test_cuts_are_the_best():
     rng = random.Random(2)
     for _ in range(60):
