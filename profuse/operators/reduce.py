@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from profuse.operators.arrays import matrix_of, mixed_uniform, sum_partials, vector_to_vector
-from profuse.operators.gram import moments, width_of
+from profuse.operators.gram import check_width, moments, width_of
 from profuse.session import stored
 
 
@@ -85,6 +87,51 @@ def fit_pca(df: DataFrame, n_components: int, x: str = "x", svd_solver: str = "f
     return Components(m.mean_x, signed(vectors[:, order]), values[order])
 
 
+def fit_pca_by(df: DataFrame, by: str, n_components: int, x: str = "x") -> dict[str, Components]:
+    """Components of every group's centred rows; widths may differ between groups.
+
+    One scan sums the Grams of all groups, so ``by`` has few values and every
+    group is bounded in width.
+    """
+    source = df.select(F.col(by).cast("string").alias("g"), F.col(x).alias("x"))
+
+    def partial(batches):
+        out: dict[str, np.ndarray] = {}
+        for batch in batches:
+            groups = batch.column("g")
+            for g in groups.unique().to_pylist():
+                m = matrix_of(batch.column("x").filter(pc.equal(groups, g)))
+                check_width(m.shape[1], len(out) + 1)
+                z = np.column_stack([np.ones(len(m)), m])
+                out[g] = out.get(g, 0.0) + z.T @ z
+        return out
+
+    found = {}
+    for g, z in sum_partials(source, partial).items():
+        n, mean = z[0, 0], z[0, 1:] / z[0, 0]
+        values, vectors = np.linalg.eigh(z[1:, 1:] / n - np.outer(mean, mean))
+        order = np.argsort(values)[::-1][:n_components]
+        found[g] = Components(mean, signed(vectors[:, order]), values[order])
+    return found
+
+
+def transform_by(df: DataFrame, fits: dict[str, Components], by: str, x: str = "x") -> DataFrame:
+    """Every row's scores on the components of its group; groups without components give NULL."""
+
+    @F.arrow_udf("array<double>")
+    def apply(groups: pa.Array, rows: pa.Array) -> pa.Array:
+        out = [None] * len(rows)
+        for g in groups.unique().to_pylist():
+            if g in fits:
+                mine = pc.equal(groups, g)
+                scores = (matrix_of(rows.filter(mine)) - fits[g].mean) @ fits[g].axes
+                for i, row in zip(np.flatnonzero(mine.to_numpy(zero_copy_only=False)), scores):
+                    out[i] = row
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return df.withColumn(x, apply(F.col(by).cast("string"), F.col(x)))
+
+
 class _Spread:
     """The covariance of the rows as an operator: a product with p x l vectors is one scan with p x l sums."""
 

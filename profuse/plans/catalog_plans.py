@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from profuse.functions.text import add_suffix
 from profuse.operators import labels, quality, scale
-from profuse.plans import cohort, prepare
+from profuse.plans import cohort, prepare, reload
 from profuse.plans.catalog_cells import CELLS_OUT, SPLIT_SQL, WHITELIST, cells_out, grid_sql, names_frame
 from profuse.plans.registry import ALL, md5_hash, query, r, rounded
 from profuse.session import stored
@@ -121,6 +121,55 @@ def w3(spark, sf):
     return out.select("split", "sample_id", "draw", "feature", rounded("value").alias("value"), rounded("y").alias("y"))
 
 
+# Two features of each profile stay, so that their components have a closed form.
+RELOAD_NAMES = ["Brand#12", "Brand#23", "AF", "RF", "URGENT", "LOW", "chas", "sign"]
+RELOAD_RULES = {
+    "spend": reload.ProfileRule(drop_id=True, select="exact", threshold=0.001),
+    "mix": reload.ProfileRule(drop_id=True, select="contains", threshold=0.001),
+    "share": reload.ProfileRule(drop_id=True, select="contains", threshold=0.001),
+    "activity": reload.ProfileRule(repair=("-", "."), follows=True, select="contains", threshold=0.01)}
+
+
+def saved_wide(spark, sf) -> dict:
+    """The four profiles as saved tables: label, (repeated identifier,) one column per feature."""
+    out = {}
+    for name, build in standin.BUILDERS.items():
+        cells = build(spark, sf)
+        dotted = cells.withColumn("sample_id", F.concat(F.lit("S-" if name == "activity" else "S."), F.substring("sample_id", 2, 12)))
+        wide = stored(dotted, "cells").groupBy("sample_id").pivot("feature").agg(F.max("value"))
+        out[name] = wide if name == "activity" else wide.select("sample_id", F.col("sample_id").alias("X"), *wide.columns[1:])
+    return out
+
+
+@query("w3_reload_profiles", f"""
+, listed AS (SELECT unnest({RELOAD_NAMES}) AS name),
+lim AS (SELECT * FROM (VALUES ('spend', 0.001::double), ('mix', 0.001::double), ('share', 0.001::double), ('activity', 0.01::double)) AS t(profile, lim)),
+led AS (SELECT DISTINCT sample_id FROM spend),
+st AS (SELECT c.profile, c.feature, min(value) AS lo, CASE WHEN max(value) = min(value) THEN 1 ELSE max(value) - min(value) END AS width,
+  var_pop(value) FILTER (c.profile <> 'activity' OR led.sample_id IS NOT NULL) AS spread FROM cells c LEFT JOIN led USING (sample_id) GROUP BY c.profile, c.feature),
+f AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY feature) AS k FROM st JOIN lim USING (profile)
+  WHERE spread / (width * width) > lim AND EXISTS (SELECT 1 FROM listed WHERE CASE WHEN profile = 'spend' THEN feature = name ELSE contains(feature, name) END)),
+v AS (SELECT c.profile, c.sample_id, coalesce(max((value - lo) / width) FILTER (k = 1), 0) AS a, coalesce(max((value - lo) / width) FILTER (k = 2), 0) AS b
+  FROM cells c LEFT JOIN f USING (profile, feature) LEFT JOIN led USING (sample_id) WHERE c.profile <> 'activity' OR led.sample_id IS NOT NULL GROUP BY c.profile, c.sample_id),
+m AS (SELECT profile, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, covar_pop(a, b) AS vc,
+  (var_pop(a) + var_pop(b)) / 2 + sqrt(((var_pop(a) - var_pop(b)) / 2) ** 2 + covar_pop(a, b) ** 2) - var_pop(a) AS gap FROM v GROUP BY profile),
+e AS (SELECT *, vc / sqrt(vc * vc + gap * gap) AS x, gap / sqrt(vc * vc + gap * gap) AS y FROM m),
+s AS (SELECT *, CASE WHEN abs(x) >= abs(y) THEN sign(x) ELSE sign(y) END AS s1, CASE WHEN abs(y) >= abs(x) THEN -sign(y) ELSE sign(x) END AS s2 FROM e),
+pc AS (SELECT profile, sample_id, 'pc1' AS component, s1 * ((a - ma) * x + (b - mb) * y) AS value FROM v JOIN s USING (profile)
+  UNION ALL SELECT profile, sample_id, 'pc2', s2 * ((b - mb) * x - (a - ma) * y) FROM v JOIN s USING (profile)),
+o AS (SELECT 'S.' || substr(sample_id, 2) AS sample_id, log10(max_price) AS y FROM response JOIN led USING (sample_id) WHERE max_price IS NOT NULL),
+parts AS (SELECT *, row_number() OVER (ORDER BY {md5_hash(10, 'sample_id')}, sample_id) AS k, count(*) OVER () AS n FROM o)
+SELECT CASE WHEN k > n - ceil(0.2::double * n) THEN 'test' ELSE 'train' END AS split, profile, parts.sample_id, component, {r('value')} AS value, {r('y')} AS y
+FROM pc JOIN parts ON parts.sample_id = 'S.' || substr(pc.sample_id, 2)""", [*ALL, "response"])
+def w3_profiles(spark, sf):
+    """Identifier drop, label repair, min-max, name lists, alignment, variance limits per profile, two components, split."""
+    options = reload.ProfileReload(target="max_price", reference="spend", rules=RELOAD_RULES, scaling="minmax",
+                                   names=names_frame(spark, RELOAD_NAMES), components=2)
+    outcome = standin.response(spark, sf).withColumn("sample_id", F.concat(F.lit("S."), F.substring("sample_id", 2, 12)))
+    out = reload.reload_profiles(saved_wide(spark, sf), outcome, options)
+    return out.select("split", "profile", "sample_id", F.col("feature").alias("component"), rounded("value").alias("value"), rounded("y").alias("y"))
+
+
 DEMO = ["AF", "NO", "RF"]
 
 
