@@ -28,6 +28,11 @@ def mean_model(models: Sequence[LinearModel]) -> LinearModel:
 
 # ---- bagging -----------------------------------------------------------------
 
+def drawn_columns(p: int, member: int, seed: int) -> np.ndarray:
+    """``p`` hashed draws of a feature with replacement, one set per member."""
+    return np.floor(mixed_uniform(np.arange(p, dtype=np.uint64), 1_000_003 * (member + 1) + seed) * p).astype(int)
+
+
 def bag_linear(df: DataFrame, solver: Callable[..., LinearModel], members: int = 10, bootstrap_features: bool = False,
                seed: int = 0, x: str = "x", y: str = "y", **params) -> LinearModel:
     """Bagged linear models (ridge, elastic net, or kernel ridge on mapped features).
@@ -41,8 +46,7 @@ def bag_linear(df: DataFrame, solver: Callable[..., LinearModel], members: int =
         if not bootstrap_features:
             fits.append(solver(m, **params))
             continue
-        ids = np.arange(m.p, dtype=np.uint64)
-        drawn = np.floor(mixed_uniform(ids, 1_000_003 * (i + 1) + seed) * m.p).astype(int)
+        drawn = drawn_columns(m.p, i, seed)
         fit = solver(m.take(drawn), **params)
         coef = np.zeros(m.p)
         np.add.at(coef, drawn, fit.coef)

@@ -136,21 +136,24 @@ class Panel:
 
 
 def fit_kernel_tubes(df: DataFrame, maps: Sequence[LowRankMap | None], tubes: Sequence[Tube], folds: Sequence[int] = (), x: str = "x", y: str = "y",
-                     fold: str = "fold", passes: int = 15, tol: float = 1e-5, floor: float = 1e-4) -> list[Panel]:
+                     fold: str = "fold", passes: int = 15, tol: float = 1e-5, floor: float = 1e-4,
+                     members: Sequence[int] | None = None, seed=0) -> list[Panel]:
     """A panel per kernel map (None: the plain vector); every map, tube and fold advances in the same scan.
 
     Features are recomputed in the scan, so nothing is written per kernel. A map
     whose models have all settled takes no part in later passes. Settings of a
-    panel are those of ``tubes``.
+    panel are those of ``tubes``.  With ``members`` a map is fitted on its
+    member's bootstrap copy of the rows.
     """
     groups = [*folds, 0]
     jobs = [(tube, g) for tube in tubes for g in groups]
-    source = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), (F.col(fold).cast("int") if folds else F.lit(-1)).alias("f"))
+    source = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), (F.col(fold).cast("int") if folds else F.lit(-1)).alias("f"),
+                       (row_hash(seed) if members is not None else F.lit(0).cast("bigint")).alias("h"))
     betas: dict[int, np.ndarray] = {}
     last = {i: np.full(len(jobs), np.inf) for i in range(len(maps))}
     active = list(range(len(maps)))
     for step in range(passes):
-        task = [(i, maps[i], betas.get(i)) for i in active]
+        task = [(i, maps[i], betas.get(i), None if members is None else members[i]) for i in active]
         sums = sum_partials(source, lambda batches, task=task: _kernel_pass(batches, task, jobs, floor))
         for i in list(active):
             new, value = _solve_jobs(sums[str(i)])
@@ -196,8 +199,10 @@ def _kernel_pass(batches, task, jobs, floor: float) -> dict[str, np.ndarray]:
             continue
         xs, ys = matrix_of(batch.column("x")), numbers_of(batch.column("y"))[:, None]
         fold = batch.column("f").to_numpy()[:, None]
-        case = ((left_out == 0) | (fold != left_out)).astype(np.float64)
-        for i, mapping, beta in task:
+        seen = ((left_out == 0) | (fold != left_out)).astype(np.float64)
+        base = batch.column("h").to_numpy().view(np.uint64)
+        for i, mapping, beta, member in task:
+            case = seen if member is None else seen * poisson_weights(mixed_uniform(base, member))[:, None]
             z = np.column_stack([np.ones(len(xs)), xs if mapping is None else mapping.features(xs)])
             check_width(z.shape[1] - 1, len(jobs) * len(task))
             gap = ys - (z @ beta if beta is not None else np.zeros((1, len(jobs))))

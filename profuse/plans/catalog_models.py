@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from profuse.functions import scores
 from profuse.functions.kernels import gamma_kernel
-from profuse.operators import ensemble, evaluate, gram, impute, kernels, linear, reduce, reshape, robust, scale, split, svm, trees, tuning
+from profuse.operators import bagging, ensemble, evaluate, gram, impute, kernels, linear, reduce, reshape, robust, scale, split, svm, trees, tuning
 from profuse.operators.arrays import vector_to_number
 from profuse.operators.neighbors import neighbour_regression
 from profuse.operators.rank import block_of, key_rank
@@ -201,6 +201,16 @@ def e2(spark, sf):
     return out
 
 
+@query("e2_bagging_search")
+def e2_search(spark, sf):
+    """Four bases, two sizes, features drawn or not, five folds: score of every setting, and the test error of the best."""
+    rows, _ = design(spark, sf)
+    vote, settings, found = bagging.bagging_search(train_of(rows))
+    test, best = mse_of(vote.transform(rows), 4).first()[0], int(found.argmax())
+    return model_rows(spark, [(tuning.params_text(s), float(v), float(test) if i == best else None) for i, (s, v) in enumerate(zip(settings, found))],
+                      "params string, cv_r2 double, test_mse double").select("params", rounded("cv_r2", 4).alias("cv_r2"), "test_mse")
+
+
 @query("e4_voting_combiner", f"""WITH {PAIR_SQL}, s AS (SELECT avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy FROM pair)
 SELECT k, {r('my + (x - mx) * (sxy / (sxx + 0.1) + sxy / (sxx + 10) + sxy / (sxx + 1000)) / 3')} AS prediction FROM pair CROSS JOIN s""")
 def e4_combiner(spark, sf):
@@ -342,5 +352,5 @@ _board("t7_nonlinear_leaderboard", {
     "svr": early.NONLINEAR["svr"], "knn": early.NONLINEAR["knn"], "gaussian_process": {}, "tree": {"max_depth": [2, 4]},
     "kernel_ridge": early.NONLINEAR["kernel_ridge"], "nn": {**early.NONLINEAR["nn"], "epochs": [30]}}, folds=5)
 _board("t7_ensemble_leaderboard", {
-    "random_forest": {"n_estimators": [10], "max_depth": [4]}, "bagging": {"n_estimators": [10], "bootstrap_features": [True, False]},
+    "random_forest": {"n_estimators": [10], "max_depth": [4]}, "bagging": early.ENSEMBLES["bagging"],
     "adaboost": {"rounds": [2]}})

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from profuse.functions import scores
 from profuse.functions.kernels import gamma_kernel
-from profuse.operators import ensemble, gram, kernels, linear, network, robust, svm, trees
+from profuse.operators import bagging, ensemble, gram, kernels, linear, network, robust, svm, trees
 from profuse.operators.neighbors import neighbour_regression
 from profuse.operators.tuning import parameter_grid, params_text
 
@@ -185,8 +185,18 @@ def search_networks(rows: DataFrame, space: dict, folds: int, rate: float = 0.01
     return jobs[best * len(groups) + folds].net, {**settings[best], "epochs": epochs}, float(mean[best])
 
 
+def search_bagging(rows: DataFrame, space: dict, folds: int) -> tuple[ensemble.Vote, dict, float]:
+    """Bags: every base, size, feature mode, member and fold in shared scans."""
+    bases = {name: bagging.BASES[name] for name in space.get("base", bagging.BASES)}
+    vote, settings, found = bagging.bagging_search(rows.filter(F.col("fold") > 0), bases, space.get("n_estimators", [10]),
+                                                   space.get("bootstrap_features", [False]), range(1, folds + 1))
+    best = int(found.argmax())
+    return vote, settings[best], float(found[best])
+
+
 # Families whose settings share scans; the others are searched setting by setting.
-SEARCHES: dict[str, Callable] = {"kernel_ridge": search_kernel_ridge, "knn": search_neighbours, "svr": search_tubes, "nn": search_networks}
+SEARCHES: dict[str, Callable] = {"kernel_ridge": search_kernel_ridge, "knn": search_neighbours, "svr": search_tubes, "nn": search_networks,
+                                "bagging": search_bagging}
 
 
 def leaderboard(rows: DataFrame, spaces: dict[str, dict], folds: int) -> list[tuple]:
@@ -215,7 +225,7 @@ NONLINEAR = {
 ENSEMBLES = {
     "random_forest": {"n_estimators": [100, 200, 500], "max_depth": [10, 25, None], "min_rows": [1, 5, 10, 15],
                       "max_features": ["auto", "sqrt", "log2", None]},
-    "bagging": {"n_estimators": [10, 50], "bootstrap_features": [True, False]},
+    "bagging": {"base": list(bagging.BASES), "n_estimators": list(bagging.SIZES), "bootstrap_features": [True, False]},
     "adaboost": {},
 }
 ROBUST = {
