@@ -54,6 +54,9 @@ class Components:
     axes: np.ndarray       # p x r
     variances: np.ndarray  # population variance of each component
 
+    def first(self, n: int) -> "Components":
+        return Components(self.mean, self.axes[:, :n], self.variances[:n])
+
     def transform(self, df: DataFrame, x: str = "x") -> DataFrame:
         mean, axes = self.mean, self.axes
         return df.withColumn(x, vector_to_vector(lambda m: (m - mean) @ axes, x))
@@ -267,37 +270,51 @@ def nonnegative_rows(x: np.ndarray, h: np.ndarray, l1: float = 0.0, l2: float =
 
 def fit_nmf(df: DataFrame, n_components: int, alpha: float = 0.0, l1_ratio: float = 0.0, rounds: int = 30,
             tol: float = 1e-4, seed: int = 0, x: str = "x") -> Factors:
-    """Alternating non-negative least squares.
+    """Alternating non-negative least squares for one setting (see ``fit_nmf_grid``)."""
+    return fit_nmf_grid(df, [(n_components, alpha, l1_ratio)], rounds, tol, seed, x)[0]
+
+
+def fit_nmf_grid(df: DataFrame, settings: Sequence[tuple[int, float, float]], rounds: int = 30, tol: float = 1e-4,
+                 seed: int = 0, x: str = "x") -> list[Factors]:
+    """Factors of every (components, alpha, l1_ratio); all settings advance in the same scans.
 
     A row of W is recomputed from the row and H, so no state is kept between
-    rounds: each is one scan that sums W'W, W'X and the loss.
+    rounds: each is one scan that sums W'W, W'X and the loss of every setting
+    that still moves.  Settings with equal penalties are fitted once.
     """
     rows = stored(df.select(F.col(x).alias("x")), "factors")
     p = width_of(rows)
-    r = n_components
-    l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
+    keys = [(int(n), float(alpha * ratio), float(alpha * (1.0 - ratio))) for n, alpha, ratio in settings]
     mean = max(float(rows.agg(F.avg(F.aggregate("x", F.lit(0.0), lambda s, v: s + v))).first()[0]) / p, 1e-12)
-    ids = np.arange(r * p, dtype=np.uint64)
-    h = np.sqrt(mean / r) * mixed_uniform(ids, seed).reshape(r, p) * 2.0
-    losses: list[float] = []
+    state = {k: np.sqrt(mean / k[0]) * mixed_uniform(np.arange(k[0] * p, dtype=np.uint64), seed).reshape(k[0], p) * 2.0 for k in keys}
+    losses: dict[tuple, list[float]] = {k: [] for k in state}
+    active = list(state)
+    check_width(sum(k[0] for k in active) + p, 1)
     for _ in range(rounds):
-        def partial(batches, h=h):
-            out = {"ww": 0.0, "wx": 0.0, "loss": 0.0}
+        task = [(str(i), k, state[k]) for i, k in enumerate(active)]
+
+        def partial(batches, task=task):
+            out: dict[str, np.ndarray] = {}
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
                 m = matrix_of(batch.column("x"))
-                w = nonnegative_rows(m, h, l1, l2)
-                out["ww"] = out["ww"] + w.T @ w
-                out["wx"] = out["wx"] + w.T @ m
-                penalty = l1 * w.sum() + 0.5 * l2 * (w * w).sum()
-                out["loss"] = out["loss"] + np.array([[0.5 * ((m - w @ h) ** 2).sum() + penalty]])
-            return out if np.ndim(out["ww"]) else {}
+                for name, (_, l1, l2), h in task:
+                    w = nonnegative_rows(m, h, l1, l2)
+                    loss = 0.5 * ((m - w @ h) ** 2).sum() + l1 * w.sum() + 0.5 * l2 * (w * w).sum()
+                    sums = np.vstack([np.hstack([w.T @ w, w.T @ m]), np.full((1, len(h) + m.shape[1]), loss)])
+                    out[name] = out.get(name, 0.0) + sums
+            return out
 
         sums = sum_partials(rows, partial)
-        loss = float(sums["loss"][0, 0]) + l1 * h.sum() + 0.5 * l2 * (h * h).sum()
-        losses.append(float(loss))
-        if len(losses) > 1 and losses[-2] - loss <= tol * losses[0]:
+        for name, k, h in task:
+            (n, l1, l2), found = k, sums[name]
+            loss = float(found[-1, 0]) + l1 * h.sum() + 0.5 * l2 * (h * h).sum()
+            losses[k].append(float(loss))
+            if len(losses[k]) > 1 and losses[k][-2] - loss <= tol * losses[k][0]:
+                active.remove(k)
+                continue
+            state[k] = _sweeps(found[:-1, :n], found[:-1, n:].T, h.T.copy(), l1, l2).T
+        if not active:
             break
-        h = _sweeps(sums["ww"], sums["wx"].T, h.T.copy(), l1, l2).T
-    return Factors(h, losses, l2, l1)
+    return [Factors(state[k], losses[k], k[2], k[1]) for k in keys]

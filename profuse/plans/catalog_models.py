@@ -12,7 +12,7 @@ from profuse.operators.neighbors import neighbour_regression
 from profuse.operators.rank import block_of, key_rank
 from profuse.plans.catalog_kernels import KEYED, bundle_rows
 from profuse.plans.catalog_linear import PAIR_SQL, model_rows, pair
-from profuse.plans import early
+from profuse.plans import early, integrate
 from profuse.plans.integrate import profile_rows, reduced_late_integration
 from profuse.plans.prepare import design
 from profuse.plans.registry import md5_hash, query, r, rounded
@@ -322,7 +322,7 @@ def e7(spark, sf):
 @query("e8_late_integration_nmf")
 def e8(spark, sf):
     rows = profile_rows(spark, sf)
-    found = reduced_late_integration(rows, "nmf", {"n_components": [2], "l1_ratio": [0.01]}, **{**SMALL, "grid0": {"kernel": ["linear"], "C": [1]}}, rounds=5)
+    found = reduced_late_integration(rows, "nmf", integrate.NMF_SPACE, **{**SMALL, "grid0": {"kernel": ["linear"], "C": [1]}}, rounds=5)
     return model_rows(spark, [(tuning.params_text(p), m) for p, m in found], "params string, mse double").select("params", rounded("mse", 5).alias("mse"))
 
 
